@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm import bpe
+from rastrum.llm import bpe, lines, packing
 from rastrum.llm.common import table
 
 #: Production parameters.
@@ -26,3 +26,26 @@ def query(build):
 @query
 def op1_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op6_packing(spark, sf_dir):
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER, 2048), 2048)
+
+
+@query
+def op2_lines(spark, sf_dir):
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op2_lines"] = r"""
+WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     lines AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM rows),
+     keyed AS (SELECT *, translate(regexp_replace(line, '^[ \t\n\x0B\x0C\r]+|[ \t\n\x0B\x0C\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+     common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+     marked AS (SELECT keyed.*, coalesce(keyed.doc_id <> common.keeper, false) AS gone FROM keyed LEFT JOIN common USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY rid
+"""
