@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm import bpe, lines, packing
+from rastrum.llm import bpe, lines, packing, quality
 from rastrum.llm.common import table
 
 #: Production parameters.
@@ -49,3 +49,8 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY rid
 """
+
+
+@query
+def op7_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents")).drop("distance2")
