@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm import bpe, lines, packing, quality
+from rastrum.llm import bpe, lines, packing, quality, secrets
 from rastrum.llm.common import table
 
 #: Production parameters.
@@ -54,3 +54,11 @@ FROM marked GROUP BY rid
 @query
 def op7_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("distance2")
+
+
+@query
+def op4_secrets(spark, sf_dir):
+    found = secrets.scan_report(table(spark, sf_dir, "documents"))
+    count = lambda no: F.size(F.filter("spans", lambda x: x["kind_no"] == no)).cast("long")
+    base = secrets.span_text(F.filter("spans", lambda x: x["kind_no"] < 3))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
