@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,31 @@ def let(value: Column, body) -> Column:
 def words_of(text: Column) -> Column:
     """Maximal runs of other than ASCII white space; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As cut, for large tables: a Parquet table in the shared folder."""
+    place = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+#: A key is hot if it has at least this share of the rows; so there are at most 1 / HOT_SHARE hot keys.
+HOT_SHARE = 1 / 1000
+HOT_SALTS = 64
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of left with right, which has one row a key and in `weight` how many rows of left have it.
+
+    The hot keys, a thousand at most by their definition, are broadcast to give their
+    rows of left one of HOT_SALTS salts; their rows of right are repeated as often.
+    Every other key has less than HOT_SHARE of the rows.  right should have been
+    written, as it is read three times.
+    """
+    total = right.agg(F.sum(weight)).collect()[0][0] or 0
+    hot = right.where(F.col(weight) >= max(1000.0, total * HOT_SHARE)).select(*keys, F.lit(True).alias("_rs_hot"))
+    salt = F.when(F.col("_rs_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(HOT_SALTS))).otherwise(0).cast("int")
+    rows = left.join(F.broadcast(hot), keys, "left").withColumn("_rs_salt", salt).drop("_rs_hot")
+    last = F.when(F.col(weight) >= max(1000.0, total * HOT_SHARE), HOT_SALTS - 1).otherwise(0)
+    return rows.join(right.withColumn("_rs_salt", F.explode(F.sequence(F.lit(0), last))), [*keys, "_rs_salt"]).drop("_rs_salt")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm import bpe, chat, lines, packing, quality, secrets, topk, warc
+from rastrum.llm import bpe, chat, lines, packing, quality, secrets, spans, topk, warc
 from rastrum.llm.common import table
 
 #: Production parameters.
@@ -118,3 +118,9 @@ SELECT pair_id, CAST(n_common AS BIGINT) AS n_common, coalesce(array_to_string(p
        coalesce(array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i: CAST(rs[i] AS BIGINT) || ':' || CAST(rs[i] + length(r[i].text) + 7 AS BIGINT)), ','), '') AS rejected_mask
 FROM m
 """
+
+
+@query
+def op3_spans(spark, sf_dir):
+    kept = spans.dedup_spans(table(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
