@@ -66,8 +66,8 @@ HOT_SHARE = 1 / 1000
 HOT_SALTS = 64
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Inner join of left with right, which has one row a key and in `weight` how many rows of left have it.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of left with right, which has one row a key and in `weight` how many rows of left have it.
 
     The hot keys, a thousand at most by their definition, are broadcast to give their
     rows of left one of HOT_SALTS salts; their rows of right are repeated as often.
@@ -79,4 +79,4 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str)
     salt = F.when(F.col("_rs_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(HOT_SALTS))).otherwise(0).cast("int")
     rows = left.join(F.broadcast(hot), keys, "left").withColumn("_rs_salt", salt).drop("_rs_hot")
     last = F.when(F.col(weight) >= max(1000.0, total * HOT_SHARE), HOT_SALTS - 1).otherwise(0)
-    return rows.join(right.withColumn("_rs_salt", F.explode(F.sequence(F.lit(0), last))), [*keys, "_rs_salt"]).drop("_rs_salt")
+    return rows.join(right.withColumn("_rs_salt", F.explode(F.sequence(F.lit(0), last))), [*keys, "_rs_salt"], how).drop("_rs_salt")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm import bpe, chat, lines, packing, quality, secrets, spans, topk, warc
+from rastrum.llm import bpe, chat, jaccard, lines, packing, quality, secrets, spans, topk, warc
 from rastrum.llm.common import table
 
 #: Production parameters.
@@ -124,3 +124,8 @@ FROM m
 def op3_spans(spark, sf_dir):
     kept = spans.dedup_spans(table(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op5_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
