@@ -66,15 +66,18 @@ HOT_SHARE = 1 / 1000
 HOT_SALTS = 64
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner", few: int = 0) -> DataFrame:
     """Inner or left join of left with right, which has one row a key and in `weight` how many rows of left have it.
 
     The hot keys, a thousand at most by their definition, are broadcast to give their
     rows of left one of HOT_SALTS salts; their rows of right are repeated as often.
     Every other key has less than HOT_SHARE of the rows.  right should have been
-    written, as it is read three times.
+    written, as it is read three times.  If it has at most `few` rows, it is
+    broadcast as a whole.
     """
-    total = right.agg(F.sum(weight)).collect()[0][0] or 0
+    total, size = right.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count("*")).collect()[0]
+    if size <= few:
+        return left.join(F.broadcast(right), keys, how)
     hot = right.where(F.col(weight) >= max(1000.0, total * HOT_SHARE)).select(*keys, F.lit(True).alias("_rs_hot"))
     salt = F.when(F.col("_rs_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(HOT_SALTS))).otherwise(0).cast("int")
     rows = left.join(F.broadcast(hot), keys, "left").withColumn("_rs_salt", salt).drop("_rs_hot")
