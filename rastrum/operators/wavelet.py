@@ -34,6 +34,15 @@ def inverse(df: DataFrame, keys: list[str], at: str = "x", value: str = "v") ->
     return _lift(df, keys, at, value, 1, "even")
 
 
+def forward_interleaved(df: DataFrame, key: str = "image_id") -> DataFrame:
+    """One level in two dimensions with all coefficients where their samples were."""
+    return forward(forward(df.select(key, "y", "x", "v"), [key, "y"], "x"), [key, "x"], "y")
+
+
+def inverse_interleaved(df: DataFrame, key: str = "image_id") -> DataFrame:
+    return inverse(inverse(df.select(key, "y", "x", "v"), [key, "x"], "y"), [key, "y"], "x")
+
+
 def _half(at: str, size: str, back: bool = False) -> Column:
     """Interleaved position to separated position (low half first), or back."""
     low = F.floor((F.col(size) + 1) / 2)

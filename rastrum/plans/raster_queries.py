@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rastrum.functions import scalars as S
 from rastrum.operators import codebook, kernels, partition, predict, runs, stats, wavelet
 from rastrum.plans import sql as Q
+from rastrum.plans import engine
 from rastrum.plans.catalog import register
 from rastrum.sources import container, files, signals
 
@@ -469,3 +470,27 @@ def container_header_parse(spark, sf_dir):
     back = kernels.decoded_streams(found, ["series", "frame"]).select("series", "frame", F.col("seq").cast("int").alias("px"), F.col("sym").alias("v"))
     joined = frames.withColumn("key", F.struct("series", "frame"))
     return kernels.mismatches(joined, back.withColumn("key", F.struct("series", "frame")), ["key", "px"], "v", "key").select("key.series", "key.frame", "n", "mismatches")
+
+
+@register("wavelet2d_interleaved", f"WITH {Q.FULL}, f AS (SELECT image_id, y, x, v FROM full_rows), {Q.lifted('f', 'image_id, y', 'x', 'h')}, {Q.lifted('h', 'image_id, x', 'y', 'g')} SELECT image_id, y, x, CAST(v AS INT) AS v FROM g")
+def wavelet2d_interleaved(spark, sf_dir):
+    return wavelet.forward_interleaved(full_grid(spark, sf_dir))
+
+
+@register("wavelet2d_interleaved_roundtrip", f"WITH {Q.FULL} SELECT image_id, y, x, v FROM full_rows")
+def wavelet2d_interleaved_roundtrip(spark, sf_dir):
+    return wavelet.inverse_interleaved(wavelet2d_interleaved(spark, sf_dir))
+
+
+@register("pyramid_region", f"WITH {Q.FULL}, p1 AS ({_HALF.format('full_rows')}) SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(v AS INT) AS v FROM p1 WHERE x BETWEEN 5 AND 20 AND y BETWEEN 3 AND 28")
+def pyramid_region(spark, sf_dir):
+    """A rectangle of the second level, from the coded tiles of a pyramid."""
+    blobs = engine.encode_pyramid(full_grid(spark, sf_dir), 2, 16, engine.Codec("med", "huffman"))
+    return engine.decode_region(blobs, 1, 5, 3, 16, 26, 16)
+
+
+@register("run_word_entropy", f"WITH {Q.RUNS}, o AS (SELECT image_id, CASE WHEN kind = 'same' THEN len ELSE len + 7 END AS sym FROM pieces UNION ALL SELECT image_id, value FROM pieces WHERE kind = 'same' UNION ALL SELECT p.image_id, s.sym FROM pieces p JOIN s ON s.image_id = p.image_id AND s.seq BETWEEN p.start_seq AND p.start_seq + p.len - 1 WHERE kind = 'diff'), h AS (SELECT image_id, sym, count(*) AS cnt FROM o GROUP BY ALL), n AS (SELECT image_id, sum(cnt) AS n FROM h GROUP BY image_id) SELECT image_id, CAST(any_value(n) AS BIGINT) AS n, count(*) AS distinct_syms, abs(round(sum(-(cnt / n) * log2(cnt / n)), 6)) AS entropy FROM h JOIN n USING (image_id) GROUP BY image_id")
+def run_word_entropy(spark, sf_dir):
+    """What the words of runs would take, from one lazy plan."""
+    signal = engine.Signal(coarse_symbols(spark, sf_dir), depth=4)
+    return signal.run_words().histogram().summary().select("image_id", "n", "distinct_syms", "entropy")
