@@ -127,10 +127,11 @@ def component_rows(texts):
     return Counter((i, len(s), None if i is None else find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("limits", [(500, 4), (2, 0)])
+@pytest.mark.parametrize("limits", [(500, 200, 300), (2, 3, 4)])
 def test_jaccard_join(spark, documents, odd_rows, monkeypatch, limits):
     monkeypatch.setattr(jaccard, "SHARD", limits[0])
-    monkeypatch.setattr(jaccard, "OPEN_PAIRS", limits[1])
+    monkeypatch.setattr(jaccard, "LARGE", limits[1])
+    monkeypatch.setattr(jaccard, "BLOCK", limits[2])
     random.seed(9)
     base = [f"w{random.randrange(500)}" for _ in range(120)]
     near = []
