@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import SPACE_CHARS, ascii_lower
+from rastrum.llm.common import SPACE_CHARS, ascii_lower, salted_join, written
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,10 +24,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
 
     Plan: lines are exploded and hashed; pairs of key and document are made distinct
     before they are counted by key, so a line that a third of the documents hold is
-    spread over all tasks until a count per task is left.  The join of common keys
-    with places has one row a key on one side, and skewed keys are split at run
-    time.  Positions to drop are gathered per document (bounded by its lines) and
-    texts are put together again by position.
+    spread over all tasks until a count per task is left.  Common keys are written
+    and joined with places by salted keys.  Positions to drop are gathered per
+    document (bounded by its lines) and texts are put together again by position.
     """
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     placed = docs.select(F.col(id_col).alias("_rs_id"), F.xxhash64(text_col).alias("_rs_th"), F.posexplode(split).alias("_rs_pos", "_rs_line"))
@@ -36,8 +35,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     placed = placed.select("_rs_id", "_rs_th", "_rs_pos", F.xxhash64("_rs_key").alias("_rs_h1"), F.xxhash64(F.lit(1), "_rs_key").alias("_rs_h2"))
 
     holders = placed.select("_rs_h1", "_rs_h2", "_rs_id").distinct().groupBy("_rs_h1", "_rs_h2")
-    common = holders.agg(F.count("_rs_id").alias("_rs_n"), F.max("_rs_id").alias("_rs_keeper")).where(F.col("_rs_n") >= min_docs).drop("_rs_n")
-    gone = placed.join(common, ["_rs_h1", "_rs_h2"]).where(~F.col("_rs_id").eqNullSafe(F.col("_rs_keeper")))
+    common = holders.agg(F.count("_rs_id").alias("_rs_n"), F.max("_rs_id").alias("_rs_keeper")).where(F.col("_rs_n") >= min_docs)
+    gone = salted_join(placed, written(common), ["_rs_h1", "_rs_h2"], "_rs_n").where(~F.col("_rs_id").eqNullSafe(F.col("_rs_keeper")))
     gone = gone.groupBy("_rs_id", "_rs_th").agg(F.collect_set("_rs_pos").alias("_rs_gone"))
 
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
