@@ -95,7 +95,8 @@ PASSES = {
     "access": lambda m: F.length(m) >= 16,
     "hex": lambda m: F.length(m) >= 32,
 }
-PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
+#: Runs of hex digits are asked for with their least length at once: leftmost greedy runs are whole runs either way, and short ones are in every word.
+PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX.replace("+", "{32,}")}
 
 
 def encoding(m: Column) -> Column:
