@@ -126,6 +126,18 @@ def op3_spans(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+ORACLE_SQL["op3_spans"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS w FROM documents),
+     win AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS k FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+     rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+     gone AS (SELECT DISTINCT rid, i + j AS p FROM win JOIN rep USING (k), unnest(range(0, 35)) AS u(j)),
+     words AS (SELECT d.rid, t.p, w[t.p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+     kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 @query
 def op5_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
