@@ -15,6 +15,7 @@ their number is below a checked bound and joined by salted keys beyond it.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +32,8 @@ MIN_ROWS = 100
 FLOORS = (0.25, 0.05, 0.05, 0.10, 0.10)
 #: Median of chi-squared with five degrees of freedom.
 CHI2_MEDIAN = 4.35146
-#: Squared distance beyond which a text is rejected; for normal vectors it would be reached once in 1e19 texts.
-CUTOFF = 100.0
+#: Share of texts of a normal group that is rejected in error.
+ERROR = 1e-7
 #: Estimates to broadcast at most; a row has some 300 bytes.
 BROADCAST_ROWS = 20_000
 SALTS = 32
@@ -41,6 +42,20 @@ SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def chi2_cutoff(error: float) -> float:
+    """The value that chi-squared with five degrees of freedom exceeds with this chance, by halving."""
+    tail = lambda x: math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tail(middle) > error else (low, middle)
+    return high
+
+
+#: Squared distance beyond which a text is rejected.
+CUTOFF = chi2_cutoff(ERROR)
+
+
 def repeat_words(words: Column) -> Column:
     """Words in WINDOW-word windows that the text has twice or more.
 

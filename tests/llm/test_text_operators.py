@@ -243,3 +243,20 @@ def test_quality(spark, documents, odd_rows):
     stays = quality.keep_good(docs)
     assert stays.columns == docs.columns and {r.doc_id for r in stays.collect()} == kept
     assert quality.quality_report(docs.limit(0)).isEmpty()
+
+
+def test_quality_cutoff_is_a_quantile():
+    assert abs(quality.chi2_cutoff(0.01) - 15.0863) < 1e-3 and abs(quality.chi2_cutoff(0.001) - 20.5150) < 1e-3
+    assert quality.CUTOFF == quality.chi2_cutoff(quality.ERROR)
+
+
+def test_quality_rejects_menus(spark, documents):
+    random.seed(9)
+    syllables = ("the", "of", "in", "on", "re", "er", "ing", "ed", "s", "an")
+    vocabulary = [a + b + c for a in syllables for b in syllables for c in syllables]
+    plain = [(3 * k + 1, "\n".join(" ".join(random.choices(vocabulary, k=random.randrange(5, 20))) for _ in range(random.randrange(4, 40)))) for k in range(300)]
+    menus = [(3 * k + 1, " | ".join(" ".join(random.choices(vocabulary, k=2)) for _ in range(random.randrange(20, 100)))) for k in range(1000, 1015)]
+    out = {r.doc_id: r for r in quality.quality_report(documents(plain + menus)).collect()}
+    assert all(out[i].kept for i, _ in plain)
+    assert not any(out[i].base_failed or out[i].kept for i, _ in menus)
+    assert min(out[i].distance2 for i, _ in menus) < 100
