@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -91,9 +92,9 @@ class Bins:
         """The fullest bin that still takes `size`, or -1."""
         k = bisect_left(self.fills, self.capacity - size + 1) - 1
         while k >= 0:
-            for b in sorted(self.by_fill[self.fills[k]]):
-                if b != other_than:
-                    return b
+            b = min((b for b in self.by_fill[self.fills[k]] if b != other_than), default=-1)
+            if b >= 0:
+                return b
             k -= 1
         return -1
 
@@ -105,65 +106,98 @@ class Bins:
             self.fill.append(0)
         self.add(b, size)
 
-    def drain(self, b: int, tries: int) -> bool:
-        """One improving move out of bin b; False if there is none among the fuller underfull bins."""
-        for size in reversed(self.items[b]):  # move
+    def enlist(self, b: int) -> None:
+        """Puts an underfull bin into the index from piece length to (fill, bin)."""
+        if 0 < self.fill[b] < self.capacity:
+            for size in set(self.items[b]):
+                if size not in self.holders:
+                    insort(self.lengths, size)
+                    self.holders[size] = []
+                insort(self.holders[size], (self.fill[b], b))
+
+    def delist(self, b: int) -> None:
+        for size in set(self.items[b]):
+            held = self.holders[size]
+            del held[bisect_left(held, (self.fill[b], b))]
+            if not held:
+                del self.holders[size]
+                del self.lengths[bisect_left(self.lengths, size)]
+
+    def exchange(self, b: int, mine: tuple[int, ...], other: int, theirs: tuple[int, ...]) -> None:
+        self.delist(b)
+        self.delist(other)
+        for size in mine:
+            self.remove(b, size)
+        for size in theirs:
+            self.remove(other, size)
+            self.add(b, size)
+        for size in mine:
+            self.add(other, size)
+        self.enlist(b)
+        self.enlist(other)
+
+    def drain(self, b: int) -> int:
+        """One improving move out of bin b, to the bin returned; -1 if there is none among all underfull bins that aren't emptier.
+
+        Of the bins that hold a length, the emptiest has the most room for what
+        comes instead; so one bin a length stands for all, and what fails there
+        fails in the others.
+        """
+        mine, fill = self.items[b], self.fill[b]
+        for size in sorted(set(mine), reverse=True):  # move
             other = self.best_fit(size, b)
-            if other >= 0 and self.fill[other] + size > self.fill[b]:
-                self.remove(b, size)
-                self.add(other, size)
-                return True
-        mine, seen = self.items[b], 0
-        for k in range(len(self.fills) - 1, -1, -1):
-            if self.fills[k] < self.fill[b] or seen >= tries:
-                break
-            for other in sorted(self.by_fill[self.fills[k]]):
-                if other == b:
+            if other >= 0 and self.fill[other] + size > fill:
+                self.exchange(b, (size,), other, ())
+                return other
+        sizes = sorted(set(mine))
+        given = {x + y: (x, y) for i, x in enumerate(sizes) for y in sizes[i:] if x < y or mine.count(x) > 1}  # two for one
+        given |= {x: (x,) for x in sizes}  # one for one
+        sums, best = sorted(given), None
+        for theirs in self.lengths[bisect_left(self.lengths, sums[0] + fill - self.capacity) : bisect_left(self.lengths, sums[-1])]:
+            held = self.holders[theirs]
+            k = bisect_left(held, (fill, -1))
+            if k < len(held) and held[k][1] == b:
+                k += 1
+            if k == len(held):
+                continue
+            fits = bisect_left(sums, theirs + self.capacity - held[k][0] + 1)
+            top = sums[fits - 1] if fits else 0  # the largest that fits instead
+            if top > theirs and (best is None or top - theirs > best[0]):
+                best = (top - theirs, top, held[k][1], theirs)
+        if best is None:
+            return -1
+        self.exchange(b, given[best[1]], best[2], (best[3],))
+        return best[2]
+
+    def search(self) -> None:
+        """Drains bins, emptiest first, until a whole round over all underfull bins finds no move.
+
+        Within a round, bins with the contents of one that had no move are passed
+        over; as others may have changed since, the next round asks all again.
+        """
+        self.holders: dict[int, list[tuple[int, int]]] = {}
+        self.lengths: list[int] = []
+        for b in range(len(self.items)):
+            self.enlist(b)
+        moved = True
+        while moved:
+            moved, stuck = False, set()
+            waiting = [(f, b) for f in self.fills for b in sorted(self.by_fill[f])]
+            while waiting:
+                f, b = heappop(waiting)
+                if self.fill[b] != f or (key := tuple(self.items[b])) in stuck:
                     continue
-                seen += 1
-                if seen > tries:
-                    break
-                gap = self.capacity - self.fill[other]
-                for theirs in reversed(self.items[other]):
-                    top = bisect_left(mine, theirs + gap + 1) - 1  # one for one: the largest of mine that fits instead
-                    if top >= 0 and mine[top] > theirs:
-                        one = mine[top]
-                        self.remove(b, one)
-                        self.remove(other, theirs)
-                        self.add(other, one)
-                        self.add(b, theirs)
-                        return True
-                    lo, hi, best = 0, len(mine) - 1, None  # two for one
-                    while lo < hi:
-                        pair = mine[lo] + mine[hi]
-                        if pair > theirs + gap:
-                            hi -= 1
-                        else:
-                            if pair > theirs and (best is None or pair > best[0]):
-                                best = (pair, mine[lo], mine[hi])
-                            lo += 1
-                    if best:
-                        for size in best[1:]:
-                            self.remove(b, size)
-                        self.remove(other, theirs)
-                        for size in best[1:]:
-                            self.add(other, size)
-                        self.add(b, theirs)
-                        return True
-        return False
-
-    def search(self, tries: int = 64) -> None:
-        """Drains bins, emptiest first, until no move among the fuller bins helps."""
-        stuck: set[tuple[int, int]] = set()
-        while True:
-            b = next((b for f in self.fills for b in sorted(self.by_fill[f]) if (b, f) not in stuck), -1)
-            if b < 0:
-                return
-            if not self.drain(b, tries):
-                stuck.add((b, self.fill[b]))
-
-
-def fill_bins(lengths: list[int], capacity: int, tries: int = 64) -> list[list[int]]:
+                other = self.drain(b)
+                if other < 0:
+                    stuck.add(key)
+                    continue
+                moved = True
+                for x in (b, other):
+                    if 0 < self.fill[x] < self.capacity:
+                        heappush(waiting, (self.fill[x], x))
+
+
+def fill_bins(lengths: list[int], capacity: int) -> list[list[int]]:
     """The lengths, sorted into as few bins as best fit and the local search find."""
     bins = Bins(capacity)
     for size in sorted(lengths, reverse=True):
@@ -172,7 +206,7 @@ def fill_bins(lengths: list[int], capacity: int, tries: int = 64) -> list[list[i
             bins.fill.append(size)
         else:
             bins.place(size)
-    bins.search(tries)
+    bins.search()
     return [x for x in bins.items if x]
 
 

@@ -260,3 +260,25 @@ def test_quality_rejects_menus(spark, documents):
     assert all(out[i].kept for i, _ in plain)
     assert not any(out[i].base_failed or out[i].kept for i, _ in menus)
     assert min(out[i].distance2 for i, _ in menus) < 100
+
+
+def test_local_search_works_on_large_groups():
+    random.seed(1)
+    lengths = [random.randint(600, 760) for _ in range(3000)]
+    bins = packing.fill_bins(lengths, 2048)
+    assert sorted(x for b in bins for x in b) == sorted(lengths) and max(map(sum, bins)) <= 2048
+    assert len(bins) <= 1.05 * sum(lengths) / 2048
+
+
+def test_local_search_leaves_no_exchange():
+    random.seed(2)
+    for _ in range(40):
+        bins = packing.fill_bins([random.randint(1, 60) for _ in range(60)], 100)
+        under = [b for b in bins if sum(b) < 100]
+        for i, b in enumerate(under):
+            for j, other in enumerate(under):
+                if i == j or sum(other) < sum(b):
+                    continue
+                room = 100 - sum(other)
+                given = [*b, *(x + y for k, x in enumerate(b) for y in b[k + 1 :])]
+                assert not any(t < g <= t + room for g in given for t in other) and min(b) > room
