@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (as in tests) a folder of our own is set.
+    Only a session of one machine that names none (as in tests) gets a folder of our
+    own; a cluster without one is an error, as its machines' folders aren't shared.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "rastrum-checkpoints")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -58,7 +62,32 @@ def written(df: DataFrame) -> DataFrame:
     """As cut, for large tables: a Parquet table in the shared folder."""
     place = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    out = df.sparkSession.read.schema(df.schema).parquet(place)
+    out._rs_place = place
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._rs_place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes to broadcast at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if its rows have BROADCAST_BYTES at most; df should have been written, as it is read for that."""
+    variable = [c for c, t in df.dtypes if t in ("string", "binary")]
+    size = F.lit(16 * len(df.columns)) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in variable), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def partitions_for(spark: SparkSession, size: float, each: int = 32 << 20) -> int:
+    """A number of partitions for so many bytes, no less than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // each) + 1)
 
 
 #: A key is hot if it has at least this share of the rows; so there are at most 1 / HOT_SHARE hot keys.

@@ -127,11 +127,10 @@ def component_rows(texts):
     return Counter((i, len(s), None if i is None else find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("limits", [(500, 200, 300), (2, 3, 4)])
+@pytest.mark.parametrize("limits", [{}, {"CELL_NODES": 4, "PIVOTS": 3}, {"CELL_NODES": 9, "WHOLE_REGION": 5}, {"CELL_SHINGLES": 300, "BUCKETS": 1 << 18}])
 def test_jaccard_join(spark, documents, odd_rows, monkeypatch, limits):
-    monkeypatch.setattr(jaccard, "SHARD", limits[0])
-    monkeypatch.setattr(jaccard, "LARGE", limits[1])
-    monkeypatch.setattr(jaccard, "BLOCK", limits[2])
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
     random.seed(9)
     base = [f"w{random.randrange(500)}" for _ in range(120)]
     near = []
