@@ -8,27 +8,44 @@ read w can be read as well, leading to where v led.  What remains accepts a
 sequence of tokens if and only if it is what BPE makes of its concatenation.
 
 Copies share what they have in common: a state holds a link to the state that
-it was copied from and the arcs that were taken away since.  Encoding a word runs
-over its characters from left to right; for each prefix exactly one token can end
-there on a path of the automaton.  Transitions are looked up in a table that is
-filled as states and tokens meet.  Decoding emits the labels of the arcs.
+it was copied from and the arcs that were taken away since.
+
+Encoding a word runs over its symbols from left to right, without turning back.  A
+second automaton tells the tokens that end at a place; one of them, and one only,
+continues a path of the first from where it begins.  So the last token at a place
+depends on the second automaton's state and on the first one's states at the places
+that its tokens may begin at.  Both make one state of a deterministic automaton
+over symbols, and its transitions are a table by state and symbol, filled as they
+meet and begun anew when it is full.  Decoding emits the labels of the arcs.
+
+The automaton is compiled once, on the driver, and broadcast: some MB, whatever the
+input's size.  No token crosses white space, so texts are cut there as bytes, and
+what stands between is normalised, split and encoded once while a worker remembers
+it; the table and what workers remember are bounded.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import os
 import re
 import sys
 import unicodedata
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NEVER = 1 << 60
+NO_EVENT: tuple[list[int], list[int], list[int]] = ([], [], [])
+#: The symbol of a word's end; others are bytes.
+END = 256
 
 
 def byte_symbols() -> dict[int, str]:
@@ -58,45 +75,119 @@ UNICODE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 class MergeAutomaton:
     """The compiled automaton; state 0 is the start and every state accepts."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: Iterable[tuple[str, str]]):
+    def __init__(self, vocabulary: dict[str, int], merges: Iterable[tuple[str, str]], spelling=lambda token: tuple(map(ord, token))):
         self.label = {i: s for s, i in vocabulary.items()}
         self.parent, self.born, self.taken = [-1], [0], [{}]
+        before_event, newest = [-1], [0]  # per removed arc the one before it in the state's history; per state its last
+        removed = [(-1, -1)]  # token and rank
         self.left: dict[int, tuple[int, int]] = {}  # token -> (token it extends, rank)
-        self.usable: dict[str, int] = {}
         users, self.leads = [1 << 30], {}
         pairs = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in merges]
         made = {w for _, _, w in pairs}
-        for symbol, i in vocabulary.items():
+        for i in vocabulary.values():
             if i not in made:
                 self.leads[i] = 0
-                self.usable[symbol] = i
         for rank, (u, v, w) in enumerate(pairs):
             if u not in self.leads or v not in self.leads or w in self.leads:
                 continue
             before, after = self.leads[u], self.leads[v]
-            if not self.permits(before, v):
+            if not self._permits_now(before, v):
                 continue  # v never follows u here: an earlier merge takes it first
             self.leads[w], self.left[w] = after, (u, rank)
             users[after] += 1
-            self.usable[self.label[w]] = w
             if users[before] > 1:
                 users[before] -= 1
                 self.parent.append(before)
                 self.born.append(rank)
                 self.taken.append({})
                 users.append(1)
+                newest.append(newest[before])
                 self.leads[u] = before = len(users) - 1
             self.taken[before][v] = rank
-        self.longest = max(map(len, self.usable), default=1)
-        self.arcs: dict[int, bool] = {}
-        self.width = max(vocabulary.values(), default=0) + 1
+            before_event.append(newest[before])
+            removed.append((v, rank))
+            newest[before] = len(removed) - 1
+        self._begin()
+        self._number(before_event, removed, newest)
+        self._match({i: spelling(self.label[i]) for i in self.leads})
+
+    def _match(self, spelt: dict[int, tuple[int, ...]]) -> None:
+        """The automaton of all tokens' spellings: a trie, for each node the longest suffix that is a node too, and the tokens that end there."""
+        self.shift = max((x for s in spelt.values() for x in s), default=0).bit_length()
+        self.trie: dict[int, int] = {}
+        own, order = [None], [(0, 0, 0)]  # a token per node; node, the one before it, symbol
+        for token, symbols in spelt.items():
+            node = 0
+            for x in symbols:
+                key = node << self.shift | x
+                if key not in self.trie:
+                    self.trie[key] = len(own)
+                    order.append((len(own), node, x))
+                    own.append(None)
+                node = self.trie[key]
+            own[node] = (token, len(symbols))
+        depth = [0] * len(own)
+        for node, before, _ in order[1:]:
+            depth[node] = depth[before] + 1
+        self.fail = [0] * len(own)
+        self.ends: list[tuple] = [()] * len(own)  # (token, length), the longest first
+        self.depth = depth
+        self.lengths = {t: len(x) for t, x in spelt.items()}
+        for node, before, x in sorted(order[1:], key=lambda o: depth[o[0]]):
+            if before:
+                self.fail[node] = self._step(self.fail[before], x)
+            rest = self.ends[self.fail[node]]
+            self.ends[node] = (own[node], *rest) if own[node] else rest
+
+    def _step(self, node: int, x: int) -> int:
+        """The longest suffix of the node's string and x that is a node."""
+        while (found := self.trie.get(node << self.shift | x)) is None and node:
+            node = self.fail[node]
+        return found or 0
+
+    def _number(self, before: list[int], removed: list[tuple[int, int]], newest: list[int]) -> None:
+        """Numbers the removals so that those in a state's history are the intervals that hold its number.
+
+        No arc is removed twice in one history, so a token's intervals are disjoint
+        and bisection finds the one that may hold a number.
+        """
+        n = len(before)
+        size = [1] * n
+        for e in range(n - 1, 0, -1):
+            size[before[e]] += size[e]
+        low, free = [0] * n, [1] * n
+        for e in range(1, n):  # what comes before an event has a lower index
+            low[e] = free[before[e]]
+            free[before[e]] += size[e]
+            free[e] = low[e] + 1
+        self.when: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        for e in sorted(range(1, n), key=low.__getitem__):
+            begin, end, rank = self.when.setdefault(removed[e][0], ([], [], []))
+            begin.append(low[e])
+            end.append(low[e] + size[e])
+            rank.append(removed[e][1])
+        self.place = [low[e] for e in newest]
+        del self.parent, self.born, self.taken
+
+    def permits(self, state: int, token: int) -> bool:
+        """Whether `state` has an arc for `token`: no token at its left was removed before the token was made."""
+        place, when = self.place[state], NEVER
+        while True:
+            begin, end, rank = self.when.get(token, NO_EVENT)
+            k = bisect_right(begin, place) - 1
+            if k >= 0 and place < end[k] and rank[k] <= when:
+                return False
+            if token not in self.left:
+                return True
+            token, when = self.left[token]
 
-    def permits(self, state: int, token: int, when: int = NEVER) -> bool:
-        """Whether `state`, as it was at rank `when`, has an arc for `token`."""
+    def _permits_now(self, state: int, token: int) -> bool:
+        """As permits, while the automaton is made: up the chain of copies."""
+        when = NEVER
         while True:
             s, t = state, when
             while s >= 0:
-                if self.taken[s].get(token, NEVER) <= t and self.taken[s].get(token, NEVER) != NEVER:
+                if self.taken[s].get(token, NEVER) <= t and token in self.taken[s]:
                     return False
                 t = min(t, self.born[s])
                 s = self.parent[s]
@@ -104,113 +195,205 @@ class MergeAutomaton:
                 return True
             token, when = self.left[token]
 
-    def path(self, symbols: str, end: str) -> list[int]:
-        """Token ids of one word; `symbols` has a character per base symbol, `end` is the suffix of the last one.
-
-        A search from the left, longer arcs first.  A place that was reached and
-        left again isn't tried twice: one path at most of the automaton reaches it.
-        """
-        known, leads, arcs, width, n = self.usable, self.leads, self.arcs, self.width, len(symbols)
-        longest, at, state, dead = self.longest, 0, 0, ()
-        stop, ids, trail = min(n, longest), [], []
-        while True:
-            while stop > at:
-                token = known.get(symbols[at:stop] if stop < n else symbols[at:] + end)
-                if token is not None and stop not in dead:
-                    key = state * width + token
-                    ok = arcs.get(key)
-                    if ok is None:
-                        ok = arcs[key] = self.permits(state, token)
-                    if ok:
-                        break
-                stop -= 1
-            if stop > at:
-                ids.append(token)
-                if stop == n:
-                    return ids
-                trail.append((at, state, stop))
-                at, state = stop, leads[token]
-                stop = min(n, at + longest)
-            elif trail:
-                dead = dead or set()
-                dead.add(at)
-                ids.pop()
-                at, state, stop = trail.pop()
-                stop -= 1
-            else:
-                raise ValueError("a word has no path in the automaton")
+    #: States of the table of transitions; beyond, it is begun anew.
+    STATES = 1 << 18
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "last", "known", "context")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._begin()
+
+    def _begin(self) -> None:
+        self.table: dict[int, int] = {}
+        self.context = [(0, (0,))]  # per state the matched node, and the merge automaton's states at its places
+        self.known = {(0, (0,), -1): 0}
+        self.last = [-1]  # per state the token that ends here
+
+    def _transition(self, at: int, x: int) -> int:
+        """Fills the place of a state and a symbol."""
+        node, places = self.context[at]
+        node = self._step(node, x)
+        for token, length in self.ends[node]:
+            if self.permits(places[-length], token):
+                break
+        else:
+            raise ValueError("a word has no path in the automaton")
+        places = (*places, self.leads[token])[-self.depth[node] - 1 :]
+        to = self.known.get((node, places, token))
+        if to is None:
+            to = self.known[node, places, token] = len(self.last)
+            self.last.append(token)
+            self.context.append((node, places))
+        self.table[at << self.shift | x] = to
+        return to
+
+    def path(self, symbols: Iterable[int]) -> list[int]:
+        """Token ids of one word, given as symbols of the tokens' spellings."""
+        if len(self.last) >= self.STATES:
+            self._begin()
+        get, shift, at, passed = self.table.get, self.shift, 0, []
+        for x in symbols:
+            at = get(at << shift | x) or self._transition(at, x)
+            passed.append(at)
+        ids, end, last, lengths = [], len(passed), self.last, self.lengths
+        while end:
+            token = last[passed[end - 1]]
+            ids.append(token)
+            end -= lengths[token]
+        return ids[::-1]
+
+
+class Memory(dict):
+    """What was found of late: when `most` are held, those before them go, and what is asked for again comes back."""
+
+    def __init__(self, most: int):
+        self.most, self.before = most, {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+
+    def older(self, key):
+        """What is not held any more but was before, or None."""
+        found = self.before.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
 
 
 class Encoder:
     """Whole texts to ids and back, for tokenizer files with word ends and byte symbols."""
 
-    CACHE = 1_000_000
+    #: What a worker remembers of words, and of pieces between white space, of at most LONGEST bytes: twice as many at most.
+    WORDS, PIECES, LONGEST = 300_000, 400_000, 48
 
     def __init__(self, spec: str):
         spec = json.loads(spec)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"]
-        self.automaton = MergeAutomaton(model["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]])
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        end, byte = model["end_of_word_suffix"], {c: b for b, c in byte_symbols().items()}
+        spelling = lambda t: (*(byte[c] for c in t[: -len(end)]), END) if t.endswith(end) else tuple(byte[c] for c in t)
+        special = {t["content"] for t in spec["added_tokens"]}
+        vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+        self.automaton = MergeAutomaton(vocabulary, [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], spelling)
+        added = spec["added_tokens"]
+        if any(t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in added):
+            raise ValueError("added tokens must be taken as they stand and hold no white space")
+        self.special = {t["content"]: t["id"] for t in added}
         self.automaton.label |= {i: s for s, i in self.special.items()}
-        symbols = byte_symbols()
-        self.symbols = [symbols[b] for b in range(256)]
-        self.word, self.latin_word = (re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{UNICODE_SPACE}{letter}{number}]+") for most in (sys.maxunicode, 255) for letter, number in [(category_class("L", most), category_class("N", most))])
-        self.split = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
+        letter, number = category_class("L"), category_class("N")
+        self.pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{UNICODE_SPACE}{letter}{number}]+"
+        self.__setstate__(self.__dict__)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("word", "ascii_word", "split", "begin", "words", "pieces", "spelt")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.word = re.compile(self.pattern)
+        self.ascii_word = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \\t-\\ra-z0-9]+")
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.begin = os.path.commonprefix(list(self.special))
+        self.words, self.pieces, self.spelt = Memory(self.WORDS), Memory(self.PIECES), Memory(self.PIECES // 2)
 
     def of_word(self, word: str) -> bytes:
-        if len(self.known) >= self.CACHE:
-            self.known.clear()
-        symbols = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
-        ids = self.automaton.path(symbols, self.end)
-        found = self.known[word] = array("I", ids).tobytes()
+        found = self.words.older(word)
+        if found is None:
+            found = array("I", self.automaton.path((*word.encode(), END))).tobytes()
+            if len(word) <= self.LONGEST:
+                self.words.keep(word, found)
         return found
 
-    def packed(self, text: str | None) -> bytes:
-        """The text's ids as unsigned 32-bit numbers of the machine's byte order."""
-        text = text or ""
-        if self.split and "<|" in text and len(parts := self.split.split(text)) > 1:
-            return b"".join(array("I", [self.special[p]]).tobytes() if k % 2 else self.packed_plain(p) for k, p in enumerate(parts))
-        return self.packed_plain(text)
-
-    def packed_plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        try:  # a smaller class is a faster one
-            text.encode("latin-1")
-            words = self.latin_word.findall(text)
-        except UnicodeEncodeError:
-            words = self.word.findall(text)
-        get, make = self.known.get, self.of_word
-        return b"".join([get(w) or make(w) for w in words])
+    def of_plain(self, text: str) -> bytes:
+        get, make = self.words.get, self.of_word
+        if text.isascii():
+            return b"".join([get(w) or make(w) for w in self.ascii_word.findall(text.lower())])
+        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        return b"".join([get(w) or make(w) for w in self.word.findall(text)])
+
+    def of_piece(self, piece: bytes) -> bytes:
+        """Ids of what stands between ASCII white space."""
+        found = self.pieces.older(piece)
+        if found is not None:
+            return found
+        text = piece.decode()
+        if self.split and self.begin in text and len(parts := self.split.split(text)) > 1:
+            found = b"".join(array("I", [self.special[p]]).tobytes() if k % 2 else self.of_plain(p) for k, p in enumerate(parts))
+        else:
+            found = self.of_plain(text)
+        if len(piece) <= self.LONGEST:
+            self.pieces.keep(piece, found)
+        return found
+
+    def packed(self, text: bytes | None) -> bytes:
+        """The ids of a text in UTF-8 as unsigned 32-bit numbers of the machine's byte order."""
+        get, make = self.pieces.get, self.of_piece
+        return b"".join([get(p) or make(p) for p in text.split()]) if text else b""
 
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs, joined by one space as the tokenizer has no decoder."""
         return " ".join(map(self.automaton.label.__getitem__, ids))
 
+    def of_spelt(self, piece: bytes) -> tuple[str, str]:
+        found = self.spelt.older(piece)
+        if found is not None:
+            return found
+        ids = memoryview(self.pieces.get(piece) or self.of_piece(piece)).cast("I").tolist()
+        label = self.automaton.label
+        found = "".join([f"{i} " for i in ids]), "".join([label[i] + " " for i in ids])
+        if len(piece) <= self.LONGEST:
+            self.spelt.keep(piece, found)
+        return found
 
-_compiled: dict[int, Encoder] = {}
+    def spelled(self, text: bytes | None) -> tuple[str, str]:
+        """The ids in decimal and the decoded text, both joined by one space."""
+        get, make = self.spelt.get, self.of_spelt
+        both = [get(p) or make(p) for p in text.split()] if text else []
+        return "".join([b[0] for b in both])[:-1], "".join([b[1] for b in both])[:-1]
 
 
-def encoder_of(shared) -> Encoder:
-    """The encoder for a broadcast tokenizer file, compiled once in a worker."""
-    found = _compiled.get(shared.id if hasattr(shared, "id") else id(shared))
-    if found is None:
-        found = _compiled[shared.id if hasattr(shared, "id") else id(shared)] = Encoder(shared.value)
-    return found
+_compiled: dict[str, Encoder] = {}
 
 
 def share_tokenizer(spark: SparkSession, path: str):
-    """Broadcasts the tokenizer file: a few MB, whatever the input's size."""
-    with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+    """Broadcasts the compiled encoder: some MB, whatever the input's size."""
+    if path not in _compiled:
+        with open(path, encoding="utf-8") as f:
+            _compiled[path] = Encoder(f.read())
+    return spark.sparkContext.broadcast(_compiled[path])
+
+
+@contextmanager
+def uncollected():
+    """No search for cycles meanwhile: encoding makes none, and what is remembered is large."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def each_text(column: pa.Array, step: int = 256) -> Iterator[bytes | None]:
+    """The texts of a column of binary, some at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("text"))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col and ``ids`` (array of int), the tokens of the whole text.
 
     Null and empty texts have an empty array.  Rows that repeat, and rows whose id
-    is null, are encoded each on its own; other columns are not looked at.
+    is null, are encoded each on its own; other columns are not looked at.  An empty
+    table gives an empty one.  Very long texts are encoded whole, one at a time.
     """
     shared = share_tokenizer(docs.sparkSession, tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -218,25 +401,29 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        enc = encoder_of(shared)
+        enc = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                packed = [enc.packed(t) for t in part.column(1).to_pylist()]
+                with uncollected():
+                    packed = [enc.packed(t) for t in each_text(part.column(1))]
                 offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype="int32")
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="int32")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row: id_col and ``text``, the labels of the ids' arcs; null ids give an empty text."""
+    """Per row: id_col and ``text``, the labels of the ids' arcs; null and empty ids give an empty text, an empty table an empty one.
+
+    Rows that repeat, and rows whose id is null, are decoded each on its own.
+    """
     shared = share_tokenizer(encoded.sparkSession, tokenizer)
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        enc = encoder_of(shared)
+        enc = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -246,25 +433,27 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes each whole text in one pass and keeps only digests of both.
+    """Per row: id_col, n_tokens, ids_sha256 and decoded_sha256 of the whole text's ids and of what they decode to.
 
     The ids are those of ``encode`` and the text is that of ``decode``; joining their
-    steps spares the arrays' way through the JVM.
+    steps spares the arrays' way through the JVM.  Null and empty texts have no ids
+    and decode to the empty text.  Rows that repeat, and rows whose id is null, are
+    taken each on its own; an empty table gives an empty one; other columns are not
+    looked at.
     """
     shared = share_tokenizer(docs.sparkSession, tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        enc = encoder_of(shared)
-        label, decimal = enc.automaton.label, {i: str(i) for i in enc.automaton.label}
+        enc = shared.value
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for at in range(0, batch.num_rows, 64):
-                for text in batch.column(1).slice(at, 64).to_pylist():
-                    ids = memoryview(enc.packed(text)).cast("I").tolist()
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(" ".join([label[i] for i in ids]).encode()).hexdigest())
+            with uncollected():
+                for text in each_text(batch.column(1)):
+                    ids, decoded = enc.spelled(text)
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.llm.bpe import encoder_of, share_tokenizer
+from rastrum.llm.bpe import each_text, share_tokenizer, uncollected
 from rastrum.llm.common import cut
 
 GROUP = 20_000
@@ -38,12 +38,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
     end, step = separator.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
-        enc = encoder_of(shared)
+        enc = shared.value
         for batch in batches:
             taken, piece, start, length, crc = [], [], [], [], []
-            for at in range(0, batch.num_rows, 64):
-                for k, text in enumerate(batch.column(1).slice(at, 64).to_pylist(), at):
-                    packed = enc.packed(text) + end
+            with uncollected():
+                for k, text in enumerate(each_text(batch.column(1))):
+                    packed = memoryview(enc.packed(text) + end)
                     for p, lo in enumerate(range(0, len(packed), step)):
                         part = packed[lo : lo + step]
                         taken.append(k)
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
                         crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("text"))
     return found.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 

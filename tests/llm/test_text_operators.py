@@ -44,7 +44,7 @@ def test_bpe_agrees_with_the_library(spark, documents, odd_rows, tokenizer):
 
 def test_automaton_by_hand():
     found = bpe.MergeAutomaton({s: i for i, s in enumerate(["a", "b", "c", "ab", "bc", "abc", "aa"])}, [("b", "c"), ("a", "bc"), ("a", "b"), ("a", "a")])
-    label = lambda w: [found.label[i] for i in found.path(w, "")]
+    label = lambda w: [found.label[i] for i in found.path(map(ord, w))]
     assert label("abc") == ["abc"] and label("ab") == ["ab"] and label("aaa") == ["aa", "a"] and label("abcb") == ["abc", "b"] and label("aab") == ["a", "ab"]
 
 
