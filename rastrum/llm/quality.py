@@ -1,16 +1,21 @@
 """Quality rules: base limits and robust multivariate outliers per language and source.
 
 Each text becomes a vector of five transformed statistics.  For each group of
-language and source the minimum covariance determinant estimate is found by
-concentration steps: from a start by medians and quartile ranges, the share
-COVERAGE of rows with the least Mahalanobis distances gives the next centre and
-covariance, and so on.  A text is rejected if its distance to its group's final
-estimate is beyond a cut-off.
-
-Everything is sums by group: distances are ranked by counts of fine logarithmic
-bins, so a group that holds a third of all rows is summed up in every task before
-anything is shuffled.  Estimates are one row per group; they are broadcast while
-their number is below a checked bound and joined by salted keys beyond it.
+language and source the minimum covariance determinant estimate is sought: the
+centre and covariance of that share COVERAGE of the rows whose covariance has the
+least determinant.  It begins at three fixed starts (medians with quartile ranges,
+signs of the vectors about the medians, correlation of squashed values); from each,
+concentration steps take the rows of least Mahalanobis distance and estimate again,
+which lowers the determinant, until no group's falls any more.  Of a group's starts
+the one with the least determinant stays.  A text is rejected if its distance to its
+group's estimate is beyond a cut-off.  Groups too small for an estimate are judged
+by that of their language, and where that is too small as well, of all documents.
+
+Everything is sums by group: a step sums rows up by fine logarithmic bins of
+distance, so a group that holds a third of all rows is summed up in every task
+before anything is shuffled, and picks bins from the sums.  Estimates are a few rows
+per group; they are broadcast while their number is below a checked bound and joined
+by salted keys beyond it.
 """
 
 from __future__ import annotations
@@ -21,14 +26,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import SPACE_CLASS, cut, let, words_of
+from rastrum.llm.common import SPACE_CLASS, cut, let, words_of, written
 
 DIMS = 5
 COVERAGE = 0.75
-STEPS = 4
+#: Concentration steps at most; and a fall of the logarithm of a determinant that counts as none.
+STEPS, STILL = 12, 1e-4
 #: Rows that a group needs for an estimate of its own.
 MIN_ROWS = 100
-#: Standard deviations are taken for no less than these: log words, log word length, and angles of three shares.
+#: Variances are raised by the squares of these, so that spreads smaller than what a
+#: word or a symbol more makes don't decide: log words, log word length, the angle of
+#: the share of symbols, a quarter of log equal lines, and the angle of repeated words.
 FLOORS = (0.25, 0.05, 0.05, 0.10, 0.10)
 #: Median of chi-squared with five degrees of freedom.
 CHI2_MEDIAN = 4.35146
@@ -100,12 +108,12 @@ def group_key(lang_col: str, source_col: str) -> Column:
     return F.concat(part(lang_col), F.lit("\x01"), part(source_col))
 
 
-def attach(rows: DataFrame, estimates: DataFrame, n_estimates: int) -> DataFrame:
-    """rows with their group's estimate (left join on grp)."""
+def attach(rows: DataFrame, estimates: DataFrame, n_estimates: int = 0, how: str = "left") -> DataFrame:
+    """rows with each of their group's estimates (joined on grp)."""
     if n_estimates <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(estimates), "grp", "left")
+        return rows.join(F.broadcast(estimates), "grp", how)
     salted = estimates.withColumn("_rs_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_rs_salt", F.pmod(F.xxhash64(*STATS), F.lit(SALTS)).cast("int")).join(salted, ["grp", "_rs_salt"], "left").drop("_rs_salt")
+    return rows.withColumn("_rs_salt", F.pmod(F.xxhash64(*(c for c in rows.columns if c != "grp")), F.lit(SALTS)).cast("int")).join(salted, ["grp", "_rs_salt"], how).drop("_rs_salt")
 
 
 def distance2() -> Column:
@@ -119,16 +127,8 @@ def log_bin(value: Column) -> Column:
     return F.floor(16 * F.log2(value + 1e-6)).cast("int")
 
 
-def share_bin(binned: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
-    """Per key the least bin up to which `share` of the rows lie."""
-    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    run = counts.select(*keys, "bin", F.sum("c").over(w.orderBy("bin")).alias("upto"), F.sum("c").over(w).alias("all"))
-    return run.where(F.col("upto") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias(name))
-
-
 def inverted(moments: DataFrame) -> DataFrame:
-    """grp, n, center and inverse from columns n, m0.. and c00.. (lower triangle), by Cholesky's factors."""
+    """grp, start, n, center, inverse and logdet from columns n, m0.. and c00.. (lower triangle), by Cholesky's factors."""
     at = lambda n, i, j: F.col(f"{n}{i}{j}")
     out = moments
     for j in range(DIMS):
@@ -140,52 +140,108 @@ def inverted(moments: DataFrame) -> DataFrame:
         out = out.withColumn(f"k{i}{i}", 1 / at("l", i, i))
         out = out.withColumns({f"k{i}{j}": -sum([at("l", i, k) * at("k", k, j) for k in range(j, i)], F.lit(0.0)) * at("k", i, i) for j in range(i)}) if i else out
     inverse = [sum([at("k", k, i) * at("k", k, j) for k in range(max(i, j), DIMS)], F.lit(0.0)) for i in range(DIMS) for j in range(DIMS)]
-    return out.select("grp", "n", F.array(*(F.col(f"m{i}") for i in range(DIMS))).alias("center"), F.array(*inverse).alias("inverse"))
+    logdet = 2 * sum([F.log(at("l", j, j)) for j in range(DIMS)], F.lit(0.0))
+    return out.select("grp", "start", "n", F.array(*(F.col(f"m{i}") for i in range(DIMS))).alias("center"), F.array(*inverse).alias("inverse"), logdet.alias("logdet"))
 
 
-def estimates_of(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """Per grp of vectors (grp, v0..v4): center, inverse and n, scaled so that the median distance is a normal vector's; and the number of groups."""
+def _lower() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(DIMS) for j in range(i + 1)]
+
+
+def first_estimates(vectors: DataFrame) -> DataFrame:
+    """The three starts of each grp."""
     grid = 64
     long = vectors.select("grp", F.posexplode(F.array(*(F.floor(F.col(f"v{i}") * grid).cast("int") for i in range(DIMS)))).alias("dim", "bin"))
-    quartile = [share_bin(long, ["grp", "dim"], q, name) for q, name in ((0.5, "mid"), (0.25, "low"), (0.75, "high"))]
-    spread = quartile[0].join(quartile[1], ["grp", "dim"]).join(quartile[2], ["grp", "dim"])
-    first = [F.max(F.when(F.col("dim") == i, (F.col("mid") + 0.5) / grid)).alias(f"m{i}") for i in range(DIMS)]
-    scale = [F.max(F.when(F.col("dim") == i, F.pow((F.col("high") - F.col("low")) / (1.349 * grid), 2))).alias(f"c{i}{i}") for i in range(DIMS)]
-    moments = spread.groupBy("grp").agg(*first, *scale).withColumns({f"c{i}{j}": F.lit(0.0) for i in range(DIMS) for j in range(i)} | {"n": F.lit(0).cast("long")})
-    now = cut(inverted(moments))
+    counts = long.groupBy("grp", "dim", "bin").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("grp", "dim")
+    run = counts.select("grp", "dim", "bin", F.sum("c").over(w.orderBy("bin")).alias("upto"), F.sum("c").over(w).alias("all"))
+    quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin")))
+    spread = run.groupBy("grp", "dim").agg(quantile(0.25).alias("low"), quantile(0.5).alias("mid"), quantile(0.75).alias("high"))
+    one = lambda i, value: F.max(F.when(F.col("dim") == i, value))
+    middle = [one(i, (F.col("mid") + 0.5) / grid).alias(f"m{i}") for i in range(DIMS)]
+    width = [F.greatest(one(i, (F.col("high") - F.col("low")) / (1.349 * grid)), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(DIMS)]
+    robust = spread.groupBy("grp").agg(*middle, *width)
+    robust = cut(robust)
+    groups = robust.count()
+    z = [(F.col(f"v{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(DIMS)]
+    scaled = attach(vectors, robust, groups, "inner").select("grp", *(f"m{i}" for i in range(DIMS)), *(f"s{i}" for i in range(DIMS)), *(x.alias(f"z{i}") for i, x in enumerate(z)))
+    length = F.greatest(F.sqrt(sum([F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMS)], F.lit(0.0))), F.lit(1e-9))
+    scaled = scaled.withColumns({"length": length, **{f"t{i}": F.tanh(f"z{i}") for i in range(DIMS)}})
+    fixed = [F.first(f"{c}{i}").alias(f"{c}{i}") for c in "ms" for i in range(DIMS)]
+    signs = [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / (F.col("length") * F.col("length"))).alias(f"g{i}{j}") for i, j in _lower()]
+    squashed = [F.covar_pop(f"t{i}", f"t{j}").alias(f"h{i}{j}") for i, j in _lower()]
+    sums = scaled.groupBy("grp").agg(*fixed, *signs, *squashed)
+    scale = lambda i, j: F.col(f"s{i}") * F.col(f"s{j}")
+    shapes = [
+        {(i, j): scale(i, j) if i == j else F.lit(0.0) for i, j in _lower()},
+        {(i, j): DIMS * scale(i, j) * F.col(f"g{i}{j}") for i, j in _lower()},
+        {(i, j): scale(i, j) * F.col(f"h{i}{j}") / F.greatest(F.sqrt(F.col(f"h{i}{i}") * F.col(f"h{j}{j}")), F.lit(1e-6)) for i, j in _lower()},
+    ]
+    starts = F.array(*(F.struct(F.lit(k).alias("start"), *(x.cast("double").alias(f"c{i}{j}") for (i, j), x in shape.items())) for k, shape in enumerate(shapes)))
+    moments = sums.select("grp", F.lit(0).cast("long").alias("n"), *(f"m{i}" for i in range(DIMS)), F.explode(starts).alias("begun"))
+    return inverted(moments.select("grp", "n", *(f"m{i}" for i in range(DIMS)), "begun.*"))
+
+
+def concentrated(vectors: DataFrame, now: DataFrame, groups: int) -> DataFrame:
+    """One step: the estimate of the share COVERAGE of a group's rows that are nearest to each of its estimates, with the fall of logdet."""
+    d = [F.col(f"v{i}") - F.col("center")[i] for i in range(DIMS)]
+    rows = attach(vectors, now, groups, "inner").select("grp", "start", log_bin(distance2()).alias("bin"), *(x.alias(f"d{i}") for i, x in enumerate(d)))
+    sums = [F.sum(f"d{i}").alias(f"a{i}") for i in range(DIMS)] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}{j}") for i, j in _lower()]
+    bins = rows.groupBy("grp", "start", "bin").agg(F.count("*").alias("c"), *sums)
+    w = Window.partitionBy("grp", "start")
+    near = bins.withColumns({"before": F.sum("c").over(w.orderBy("bin")) - F.col("c"), "all": F.sum("c").over(w)}).where(F.col("before") < COVERAGE * F.col("all"))
+    total = near.groupBy("grp", "start").agg(F.sum("c").alias("n"), *(F.sum(c).alias(c) for c in [f"a{i}" for i in range(DIMS)] + [f"q{i}{j}" for i, j in _lower()]))
+    old = now.select("grp", "start", F.col("center").alias("old"), F.col("logdet").alias("was"))
+    total = total.join(old, ["grp", "start"])
+    mean = lambda i: F.col(f"a{i}") / F.col("n")
+    moments = total.select("grp", "start", "n", *((F.col("old")[i] + mean(i)).alias(f"m{i}") for i in range(DIMS)), *((F.col(f"q{i}{j}") / F.col("n") - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in _lower()))
+    return inverted(moments).join(old.select("grp", "start", "was"), ["grp", "start"])
+
+
+def estimates_of(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """Per grp of vectors (grp, v0..v4): center, inverse, n and logdet of the start that ends with the least determinant; and the number of groups.
+
+    The inverse is scaled so that the median distance is no larger than a normal vector's.
+    """
+    now = cut(first_estimates(vectors))
     groups = now.count()
-    for _ in range(STEPS):
-        near = attach(vectors, now, groups).withColumn("bin", log_bin(distance2()))
-        limit = share_bin(near, ["grp"], COVERAGE, "most")
-        d = [F.col(f"v{i}") - F.col("center")[i] for i in range(DIMS)]
-        chosen = attach(vectors, now.join(limit, "grp"), groups).where(log_bin(distance2()) <= F.col("most"))
-        sums = chosen.groupBy("grp").agg(F.count("*").alias("n"), F.first("center").alias("center"), *(F.avg(x).alias(f"a{i}") for i, x in enumerate(d)), *(F.avg(d[i] * d[j]).alias(f"q{i}{j}") for i in range(DIMS) for j in range(i + 1)))
-        moments = sums.select("grp", "n", *((F.col("center")[i] + F.col(f"a{i}")).alias(f"m{i}") for i in range(DIMS)), *((F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)))
-        now = cut(inverted(moments))
-    near = attach(vectors, now, groups).withColumn("bin", log_bin(distance2()))
+    for number in range(STEPS):
+        now = cut(concentrated(vectors, now, groups))
+        fall = now.agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        if number and (fall is None or fall < STILL):
+            break
+    best = cut(now.groupBy("grp").agg(F.min_by(F.struct("n", "center", "inverse", "logdet"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*"))
+    bins = attach(vectors, best, groups, "inner").select("grp", log_bin(distance2()).alias("bin")).groupBy("grp", "bin").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("grp")
+    upto = bins.select("grp", "bin", F.sum("c").over(w.orderBy("bin")).alias("upto"), F.sum("c").over(w).alias("all"))
+    middle = upto.where(F.col("upto") >= 0.5 * F.col("all")).groupBy("grp").agg(F.min("bin").alias("mid"))
     median = F.pow(F.lit(2.0), (F.col("mid") + 0.5) / 16)
-    scaled = now.join(share_bin(near, ["grp"], 0.5, "mid"), "grp").select("grp", "n", "center", F.transform("inverse", lambda x: x * F.lit(CHI2_MEDIAN) / F.greatest(median, F.lit(CHI2_MEDIAN))).alias("inverse"))
+    scaled = best.join(middle, "grp").select("grp", "n", "logdet", "center", F.transform("inverse", lambda x: x * F.lit(CHI2_MEDIAN) / F.greatest(median, F.lit(CHI2_MEDIAN))).alias("inverse"))
     return cut(scaled), groups
 
 
-def judged(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, vectors: DataFrame | None = None) -> DataFrame:
+def judged(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """Adds distance2 (double) and kept (boolean) to rows that have STATS, base_failed, lang and source.
 
-    Groups of fewer than MIN_ROWS rows are judged by the estimate of their language
-    over all such groups, and not at all (distance null, kept unless base_failed)
-    where those are too few as well.  Null languages and sources are values of their
-    own.  Texts that failed the base limits don't enter estimates.  vectors: the rows
-    to estimate from, if not stats itself.
+    A group of fewer than MIN_ROWS rows is judged by the estimate of its language,
+    over all sources, or, if that has fewer as well, by that of all rows.  A table
+    of fewer than MIN_ROWS rows that pass the base limits has no estimate: distances
+    are null, and only the base limits decide.  Null languages and sources are values of
+    their own.  Texts that failed the base limits don't enter estimates.  Rows that
+    repeat count each; an empty table gives an empty one.  stats is read several
+    times and should have been written.
     """
-    base = stats if vectors is None else vectors
-    fit = base.where(~F.col("base_failed")).select(group_key(lang_col, source_col).alias("grp"), *(x.alias(f"v{i}") for i, x in enumerate(vector())))
-    sizes = cut(fit.groupBy("grp").agg(F.count("*").alias("rows")))
+    both = lambda rows: rows.select(F.array(group_key(lang_col, source_col), F.concat(F.substring_index(group_key(lang_col, source_col), "\x01", 1), F.lit("\x01*")), F.lit("*")).alias("grps"), *(x.alias(f"v{i}") for i, x in enumerate(vector())))
+    fit = both(stats.where(~F.col("base_failed")))
+    sizes = cut(fit.select(F.explode("grps").alias("grp")).groupBy("grp").agg(F.count("*").alias("rows")))
+    large = cut(sizes.where(F.col("rows") >= MIN_ROWS).select("grp"))
     n_groups = sizes.count()
-    pool = lambda c: F.concat(F.substring_index(c, "\x01", 1), F.lit("\x01*"))
-    target = cut(sizes.select("grp", F.when(F.col("rows") >= MIN_ROWS, F.col("grp")).otherwise(pool("grp")).alias("own")))
-    routed = attach_own(fit, target, n_groups)
-    estimates, n_estimates = estimates_of(routed)
-    estimates = estimates.where(F.col("n") >= MIN_ROWS * COVERAGE)
+    lang = sizes.where(F.col("grp").contains("\x01") & ~F.col("grp").endswith("\x01*")).select("grp", F.concat(F.substring_index("grp", "\x01", 1), F.lit("\x01*")).alias("wide"))
+    own = lang.join(large.select("grp", F.col("grp").alias("first")), "grp", "left").join(large.select(F.col("grp").alias("wide"), F.col("grp").alias("second")), "wide", "left")
+    target = cut(own.select("grp", F.coalesce("first", "second", F.lit("*")).alias("own")))
+    used = cut(target.select(F.col("own").alias("grp")).distinct().join(large, "grp"))
+    vectors = cut(attach(fit.select(F.explode("grps").alias("grp"), *(f"v{i}" for i in range(DIMS))), used.withColumn("known", F.lit(True)), n_groups, "inner").drop("known"))
+    estimates, n_estimates = estimates_of(vectors)
     rows = stats.withColumns({"grp": group_key(lang_col, source_col)} | {f"v{i}": x for i, x in enumerate(vector())})
     rows = attach(attach_own(rows, target, n_groups), estimates, n_estimates)
     rows = rows.withColumn("distance2", F.when(F.col("center").isNotNull(), distance2()))
@@ -194,24 +250,21 @@ def judged(stats: DataFrame, lang_col: str = "lang", source_col: str = "source",
 
 
 def attach_own(rows: DataFrame, target: DataFrame, n_groups: int) -> DataFrame:
-    """Replaces grp by the group that judges it."""
-    if n_groups <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(target), "grp", "left")
-    else:
-        salted = target.withColumn("_rs_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("_rs_salt", F.pmod(F.xxhash64("v0", "v1", "v2"), F.lit(SALTS)).cast("int")).join(salted, ["grp", "_rs_salt"], "left").drop("_rs_salt")
-    return joined.withColumn("grp", F.coalesce("own", F.concat(F.substring_index("grp", "\x01", 1), F.lit("\x01*")))).drop("own")
+    """Replaces grp by the group that judges it; one that no row passed the base limits of is judged by all rows' estimate."""
+    return attach(rows, target, n_groups).withColumn("grp", F.coalesce("own", F.lit("*"))).drop("own")
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """id_col, STATS, base_failed, distance2 and kept per row; the statistics are written once and read for each step."""
+    """id_col, STATS, base_failed, distance2 and kept per row; the statistics are written once and read for each step.
+
+    Null and empty texts have no word and fail the base limits.  Very long texts are
+    split whole in their row.  Other columns are not looked at; ``judged`` says the rest.
+    """
     few = docs.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    stats = cut(with_stats(few).drop("text"))
-    return judged(stats).drop("lang", "source")
+    return judged(written(with_stats(few).drop("text"))).drop("lang", "source")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of docs that pass, with docs' columns; texts aren't shuffled but their statistics are computed twice."""
+    """The rows of docs that pass, with docs' columns; rows are written once with their statistics and texts aren't shuffled."""
     own = docs.select(F.struct("*").alias("_rs_row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    stats = cut(with_stats(own.select("text", "lang", "source")).drop("text"))
-    return judged(with_stats(own).drop("text"), vectors=stats).where("kept").select("_rs_row.*")
+    return judged(written(with_stats(own).drop("text"))).where("kept").select("_rs_row.*")
