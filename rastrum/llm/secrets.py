@@ -4,11 +4,14 @@ Besides three base patterns, every maximal run of at least MIN_RUN characters of
 base-64 alphabets is a candidate.  Its encoding is inferred from its characters, and
 three tests ask whether it may be uniform over that alphabet: chi-squared for the
 counts, Wald and Wolfowitz' runs about the middle, and the serial correlation of
-neighbours.  A candidate that a test rejects is no secret.  For the others the
-evidence against ordinary text is the lower tail of the same chi-squared under
-letters that coincide as often as in text; it grows with the length.  Candidates of
-an encoding and a length class form a stratum, in which Benjamini and Hochberg's
-rule over all documents bounds the share of false discoveries.
+neighbours.  A candidate that a test rejects is no secret.  For the others there are
+two pieces of evidence against ordinary text: the lower tail of the same chi-squared
+under letters that coincide as often as in text, and the upper tail of the number
+of neighbours of different kinds (upper case, lower case, digit, other), which is low
+in words, names and paths and high in random characters of several kinds.  Their
+p-values are combined by Fisher's rule; the evidence grows with the length.
+Candidates of an encoding and a length class form a stratum, in which Benjamini and
+Hochberg's rule over all documents bounds the share of false discoveries.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import LOWER, UPPER, cut, let
+from rastrum.llm.common import LOWER, UPPER, let, written
 
 #: The base patterns, and what a match of each needs.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,7 +34,9 @@ RUN = f"[A-Za-z0-9+/_-]{{{MIN_RUN},}}"
 #: A gate closes at this many standard deviations.
 GATE = 3.7
 #: Share of false discoveries among those of a stratum.
-FDR = 0.001
+FDR = 0.01
+#: Chance that neighbours in a run of text are of different kinds: a change every eight characters.
+CHANGES = 0.125
 #: Frequencies of a to z in ordinary English text, in per mille.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 #: p-values are ranked by -BINS_PER_DIGIT * log10(p), at most MAX_BIN.
@@ -54,6 +59,8 @@ ENCODINGS = (
     (".*", DIGITS + UPPER + LOWER + "+/-_"),
 )
 CASELESS = (1, 2, 4)
+#: Encodings of characters of one kind, where no change says anything.
+ONE_KIND = (0, 2)
 
 
 def coincidence(alphabet: str, of: int) -> float:
@@ -141,7 +148,13 @@ def rank_bin(m: Column) -> Column:
             serial_z = let(about, lambda a: (a["lag"] / F.greatest(a["all"], F.lit(1e-9)) + 1 / n) * F.sqrt(n))
             return (F.abs(runs_z) <= GATE) & (F.abs(serial_z) <= GATE)
 
-        digits = let(text_z, lambda z: F.when(z <= 0, F.lit(0.0)).otherwise(-upper_tail(z)))
+        kinds = F.translate(m, UPPER + LOWER + DIGITS + "+/-_", "A" * 26 + "a" * 26 + "0" * 10 + "++++")
+        same = F.length(F.regexp_replace(kinds, "A+|a+|0+|[+]+", "~"))  # a character per stretch of a kind
+        change_z = (same - 1 - 0.5 - CHANGES * (n - 1)) / F.sqrt(CHANGES * (1 - CHANGES) * (n - 1))
+        tail = lambda z: let(z, lambda x: F.when(x <= 0, F.lit(0.0)).otherwise(-upper_tail(x)))
+        single = enc.isin(*ONE_KIND)
+        both = let(tail(text_z) + tail(change_z), lambda d: F.greatest(F.lit(0.0), d - F.log10(1 + 2.302585092994046 * d)))
+        digits = F.when(single, tail(text_z)).otherwise(both)
         random = (uniform_z <= GATE) & let(values, orders)
         bin_no = F.when(random, F.least(F.floor(BINS_PER_DIGIT * digits), F.lit(MAX_BIN))).otherwise(0).cast("int")
         return F.struct(enc.alias("enc"), F.floor(2 * F.log2(n)).cast("int").alias("size"), bin_no.alias("bin"))
@@ -178,10 +191,13 @@ def discovered(test: Column, least: dict[tuple[int, int], int]) -> Column:
     return F.coalesce(test["bin"] >= F.element_at(table, test["enc"] * 100 + test["size"]), F.lit(False))
 
 
-def tests_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """A row per candidate of all texts, with its test."""
-    matches = F.filter(F.transform(pieces(F.coalesce(F.col(text_col), F.lit("")), RUN), lambda x, k: F.when(k % 2 == 1, x)), lambda x: x.isNotNull())
-    return docs.select(F.explode(matches).alias("m")).select(rank_bin(F.col("m")).alias("test"))
+def judged(found: DataFrame) -> Column:
+    """The spans of a written table of scanned rows: array<struct<start, kind_no, end>> by start and then kind."""
+    least = least_bins(found.select(F.explode("_rs_candidates.test").alias("test")))
+    tagged = lambda col, no: F.transform(col, lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("kind_no"), x["end"].alias("end")))
+    random = F.filter("_rs_candidates", lambda x: discovered(x["test"], least))
+    every = [tagged(F.col(f"_rs_{k}"), i) for i, k in enumerate(KINDS[:3])] + [tagged(random, 3)]
+    return F.array_sort(F.concat(*every))
 
 
 def scan_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,13 +206,12 @@ def scan_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Base spans are those of the fixed patterns; the method adds those of kind
     random, which may overlap base ones.  Texts are scanned once; their spans are
     written to the shared folder before candidates are judged over all documents.
+    Null and empty texts have no span; very long ones are scanned whole; rows that
+    repeat, or have no id, are scanned each and count each among the candidates; other
+    columns are not looked at; an empty table gives an empty one.
     """
-    found = cut(scanned(docs.select(id_col, F.col(text_col).alias("_rs_text")), "_rs_text").drop("_rs_text"))
-    least = least_bins(found.select(F.explode("_rs_candidates.test").alias("test")))
-    tagged = lambda col, no: F.transform(col, lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("kind_no"), x["end"].alias("end")))
-    random = F.filter("_rs_candidates", lambda x: discovered(x["test"], least))
-    every = [tagged(F.col(f"_rs_{k}"), i) for i, k in enumerate(KINDS[:3])] + [tagged(random, 3)]
-    return found.select(id_col, F.array_sort(F.concat(*every)).alias("spans"))
+    found = written(scanned(docs.select(id_col, F.col(text_col).alias("_rs_text")), "_rs_text").drop("_rs_text"))
+    return found.select(id_col, judged(found).alias("spans"))
 
 
 def span_text(s: Column) -> Column:
@@ -204,24 +219,35 @@ def span_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind_no"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def covered(spans: Column) -> Column:
+    """array<struct<start, end>>: the spans with those that overlap or touch made one, in order."""
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(out: Column, x: Column) -> Column:
+        own = F.struct(x["start"].alias("start"), x["end"].alias("end"))
+        last = F.element_at(out, -1)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when(F.size(out) == 0, F.array(own)).when(x["start"] <= last["end"], joined).otherwise(F.concat(out, F.array(own)))
+
+    apart = lambda s: F.forall(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i - 1)["end"] < F.get(s, i)["start"], F.lit(True)))
+    bare = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return let(spans, lambda s: F.when(F.size(s) == 0, empty).when(apart(s), F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).otherwise(F.aggregate(bare, empty, add)))
+
+
 def redact(docs: DataFrame, text_col: str = "text", placeholder: str = "[SECRET]") -> DataFrame:
-    """docs with each secret replaced by the placeholder, kind after kind; every row stays.
+    """docs with the placeholder instead of each secret that ``scan_report`` finds; every row stays, with all its columns.
 
-    Candidates are judged over all texts as they are before any replacement.  Null
-    texts stay null; marks of the private-use area become their stand-in in texts
-    that hold a secret, and in no other.
+    Spans that overlap or touch give way to one placeholder.  Null texts stay null,
+    texts without a secret as they are; an empty table gives an empty one.  Rows are
+    written once with their spans.
     """
-    least = least_bins(tests_of(docs, text_col))
-    tests = [(PATTERNS[k], PASSES[k]) for k in KINDS[:3]] + [(RUN, lambda m: discovered(rank_bin(m), least))]
-
-    def replaced(text: Column, pattern: str, passes) -> Column:
-        def join(p: Column) -> Column:
-            changed = F.transform(p, lambda x, k: F.when((k % 2 == 1) & passes(x), F.lit(placeholder)).otherwise(x))
-            return let(changed, lambda c: F.when(c == p, text).otherwise(F.array_join(c, "")))
+    own = docs.select(F.struct("*").alias("_rs_row"), F.col(text_col).alias("_rs_text"))
+    found = written(scanned(own, "_rs_text"))
 
-        return let(pieces(text, pattern), lambda p: F.when(F.size(p) == 1, text).otherwise(join(p)))
+    def cut_out(spans: Column, text: Column) -> Column:
+        before = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: let(F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), lambda a: F.substring(text, a + 1, F.coalesce(F.get(spans, i)["start"], F.length(text)) - a)))
+        return F.array_join(before, placeholder)
 
-    out = docs
-    for pattern, passes in tests:
-        out = out.withColumn(text_col, replaced(F.col(text_col), pattern, passes))
-    return out
+    clean = let(judged(found), lambda s: F.when(F.size(s) == 0, F.col("_rs_text")).otherwise(let(covered(s), lambda c: cut_out(c, F.col("_rs_text")))))
+    rows = found.select("_rs_row", clean.alias("_rs_clean"))
+    return rows.select(*(F.col("_rs_clean").alias(c) if c == text_col else F.col(f"_rs_row.`{c}`").alias(c) for c in docs.columns))
