@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastrum.llm.common import salted_join, written
-from rastrum.llm.words import Ranges, word_hashes
+from rastrum.llm.words import Ranges, hashed, texts_of, word_hashes
 
 WINDOW = 35
 ANCHOR = 8
@@ -51,17 +51,22 @@ def least_places(values: np.ndarray, span: int) -> np.ndarray:
     return place if size == span else merged(values, place, span - size)[1]
 
 
-def segments(h: np.ndarray, window: int, anchor: int):
-    """Anchor, first window, number of windows and hash of each segment of a text's word hashes; None if it has no window."""
-    n = len(h)
-    if n < window:
+def segments(h: np.ndarray, bounds: np.ndarray, window: int, anchor: int):
+    """Text, anchor, first window, number of windows and hash of each segment of the texts' word hashes; None if there is no window."""
+    if len(h) < window:
         return None
     ranges = Ranges(h)
-    runs = ranges.of(np.arange(n - anchor + 1), np.arange(anchor, n + 1))
+    runs = ranges.of(np.arange(len(h) - anchor + 1), np.arange(anchor, len(h) + 1))
     place = least_places(runs, window - anchor + 1)
-    cuts = np.flatnonzero(np.diff(place)) + 1
-    start, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(place)]])
-    return runs[place[start]], start, end - start, ranges.of(start, end + window - 1)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    inside = np.flatnonzero(text[: len(place)] == text[window - 1 :])  # windows that no text's end cuts
+    if not len(inside):
+        return None
+    place, text = place[inside], text[inside]
+    cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(text) != 0)) + 1
+    first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(place)]]) - 1
+    start, end = inside[first], inside[last] + 1
+    return text[first], runs[place[first]], start - bounds[text[first]], end - start, ranges.of(start, end + window - 1)
 
 
 class SuffixAutomaton:
@@ -130,29 +135,41 @@ class SuffixAutomaton:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, a hash th that tells texts of one id (and null ids) apart, and the text as bytes."""
+    """id, the text as bytes, and k and th, which tell texts of one id apart by 64 bits and texts without id by 128."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("k"), F.hash(text, F.col(id_col).isNull()).alias("th"), F.encode(text, "utf-8").alias("text"))
+    whole = docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    k = F.coalesce(F.col(id_col).cast("long") if whole else F.xxhash64(id_col), F.lit(0).cast("long"))
+    k = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(k)
+    return docs.select(F.col(id_col).alias("id"), k.alias("k"), F.xxhash64(text, F.col(id_col).isNull()).alias("th"), F.encode(text, "utf-8").alias("text"))
+
+
+#: Bytes of text cut up at a time, about.
+SLICE = 2 << 20
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k, th and marks (array<struct<start, mask>>): bit i of mask says that the window at word start + i repeats."""
+    """k, th and marks (array<struct<start, mask>>): bit i of mask says that the window at word start + i repeats.
+
+    The windows of a segment have one anchor, so there are window - anchor + 1 at
+    most, which must be less than the 63 bits of a mask.
+    """
+    if not 0 < anchor <= window < anchor + 62:
+        raise ValueError("an anchor must be shorter than the window, by less than 62 words")
     texts = _texts(docs, id_col, text_col)
-    kind = texts.schema["k"].dataType.simpleString()
 
     def cut_up(batches):
         for batch in batches:
-            found = []
-            for at in range(0, batch.num_rows, 256):
-                for row, text in enumerate(batch.column(2).slice(at, 256).to_pylist(), at):
-                    if (s := segments(word_hashes(text), window, anchor)) is not None:
-                        found.append((np.full(len(s[0]), row), *s))
-            if found:
-                row, a, start, n, seg = (np.concatenate(x) for x in zip(*found, strict=True))
-                keys = [batch.column(c).take(pa.array(row)) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(a.view("int64")), pa.array(start.astype("int32")), pa.array(n.astype("int32")), pa.array(seg.view("int64"))], ["k", "th", "anchor", "start", "n", "seg"])
-
-    found = texts.select("k", "th", "text").mapInArrow(cut_up, f"k {kind}, th int, anchor long, start int, n int, seg long")
+            data, offsets = texts_of(batch.column(2))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+                if (found := segments(*hashed(data, offsets[at : to + 1]), window, anchor)) is not None:
+                    row, a, start, n, seg = found
+                    keys = [batch.column(c).take(pa.array(row + at)) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(a.view("int64")), pa.array(start.astype("int32")), pa.array(n.astype("int32")), pa.array(seg.view("int64"))], ["k", "th", "anchor", "start", "n", "seg"])
+                at = to
+
+    found = texts.select("k", "th", "text").mapInArrow(cut_up, "k long, th long, anchor long, start int, n int, seg long")
     repeated = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("times > 1")
     repeated = written(repeated.select("anchor", "times", (F.col("a") != F.col("b")).alias("differ")))
     held = written(salted_join(found, repeated, ["anchor"], "times"))
