@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import cut, shared_dir
+from rastrum.llm.common import cut, partitions_for, salted_join, shared_dir, written
 
 MIN_REVISIT_BYTES = 1000
 BLOCK_LINES = 1000
@@ -95,8 +95,8 @@ def with_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES, id_col: str
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8").alias("payload"))
     marks = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", F.sha1("payload").alias("digest"))
-    equal = marks.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").drop("n")
-    revisits = marks.join(equal, "digest").where("page_id <> refers_to").distinct()
+    equal = written(marks.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1"))
+    revisits = salted_join(marks, equal, ["digest"], "n").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     return rows.withColumn("digest", F.sha1("payload")).join(revisits, ["page_id", "digest"], "left").drop("digest")
 
 
@@ -163,7 +163,7 @@ def write_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES)
                 f.write("\n".join(directory).encode())
             yield pa.RecordBatch.from_pylist([{"key": low[0], "page_id": low[1], "part": name}])
 
-    ordered = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ordered = entries.repartitionByRange(partitions_for(entries.sparkSession, ROW_BYTES * entries.count()), "key", "page_id").sortWithinPartitions("key", "page_id")
     top = cut(ordered.mapInArrow(run, "key string, page_id long, part string"))
     return sorted(tuple(r) for r in top.collect())
 
@@ -202,13 +202,16 @@ class Part:
 RESULT = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 RESULT_ARROW = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 OPEN_FILES = 64
+#: What an entry and a record take, about, to deal them out.
+ROW_BYTES, RECORD_BYTES = 200, 20_000
 
 
 def read_captures(wanted: DataFrame, folder: str, top: list[tuple], payloads: bool = True) -> DataFrame:
     """The records of wanted captures (key, page_id), RESULT; a capture that the index lacks gives no row.
 
     Lookups are sorted, so that a task goes through neighbouring blocks.  The top
-    level has a line per part of the index.
+    level has a line per part of the index.  Captures asked for twice come once; an
+    empty table gives an empty one, and so do null keys.  A record is read whole.
     """
     starts = [t[:2] for t in top]
 
@@ -238,7 +241,9 @@ def read_captures(wanted: DataFrame, folder: str, top: list[tuple], payloads: bo
                         found.append(capture)
                 yield from pa.Table.from_pylist(found, RESULT_ARROW).to_batches()
 
-    return wanted.select("key", "page_id").distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, RESULT)
+    asked = cut(wanted.select("key", "page_id").distinct())
+    parts = partitions_for(wanted.sparkSession, RECORD_BYTES * asked.count())  # a lookup is small, but what it reads isn't
+    return asked.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, RESULT)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str, list[tuple]]:
