@@ -74,6 +74,25 @@ def test_top_k(spark):
         want += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
     assert got == ordered(want)
     assert topk.top_k(vectors.limit(0), vectors.limit(0), 10).isEmpty()
+    read = topk.tiled(vectors, vectors.where("vec_id % 100 = 0"), 10, block=64).agg({"share": "max"}).first()[0]
+    assert 0 < read <= 1
+
+
+def test_top_k_of_large_components(spark):
+    random = np.random.default_rng(7)
+    rows = [(i, (random.normal(0, 1, 4) * 10.0 ** random.integers(0, 30)).tolist()) for i in range(60)]
+    rows += [(100, [3e6] * 4), (200, [1e30, -1e30, 1e30, 2.0]), (300, [1e30, -1e30, 1e30, 2.0009765625]), (400, [1.7e308] * 4), (500, [1.1e305, 0.0, 0.0, -1e305])]
+    data = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, v string, score string")
+    vectors = topk.integer_vectors(data)
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows if np.isfinite(1024 * np.array(v)).all()}
+    assert {r.vec_id for r in vectors.collect()} == set(whole)
+    got = ordered(map(tuple, topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10, block=16).collect()))
+    clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = []
+    for q in (i for i in whole if i % 100 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:10]
+        want += [(q, r, i, clip(-s)) for r, (s, i) in enumerate(scores, 1)]
+    assert got == ordered(want)
 
 
 def test_preference_pairs(spark):
