@@ -54,32 +54,15 @@ def normalized(counts: np.ndarray, log: int) -> np.ndarray:
 
 
 def _proportional(counts: np.ndarray, log: int) -> np.ndarray:
-    """The second method: rare symbols have one slot, the others share what is left by running totals."""
-    n, size = int(counts.sum()), 1 << log
-    low, one = n >> log, 3 * n >> (log + 1)
-    norm = np.where(counts == 0, 0, np.where(counts <= low, -1, np.where(counts <= one, 1, 0)))
-    open_ = (counts > one) & (counts > low)
-    rest, slots = int(counts[open_].sum()), size - int(np.abs(norm).sum())
-    if open_.any() and rest // slots > one:
-        one = 3 * rest // (2 * slots)
-        near = open_ & (counts <= one)
-        norm[near] = 1
-        open_ &= ~near
-        rest, slots = int(counts[open_].sum()), size - int(np.abs(norm).sum())
-    if not open_.any():
-        top = int(counts.argmax())
-        norm[top] = max(norm[top], 0) + slots + (norm[top] < 0)
-        return norm
-    ends = [0]
-    shift = 62 - log
-    each, middle = ((slots << shift) + (1 << (shift - 1)) - 1) // rest, (1 << (shift - 1)) - 1
-    total = middle
-    for c in counts[open_].tolist():
-        total += c * each
-        ends.append(total >> shift)
-    norm[open_] = np.diff(ends)
-    if (norm[open_] < 1).any():
+    """Where the first method leaves too much to the commonest symbol: a slot for each used symbol, and the others by shares, the largest remainders first."""
+    used = np.flatnonzero(counts)
+    spare = (1 << log) - len(used)
+    if spare < 0:
         raise NotCompressible("no slot is left for a symbol")
+    whole, part = np.divmod(counts[used].astype(np.int64) * spare, int(counts.sum()))
+    norm = np.zeros(len(counts), dtype=np.int64)
+    norm[used] = 1 + whole
+    norm[used[np.argsort(-part, kind="stable")[: spare - int(whole.sum())]]] += 1
     return norm
 
 
