@@ -75,7 +75,7 @@ def coefficient_words(c) -> Column:
     """A signed coefficient as 16-bit words."""
     c = _col(c)
     halves = F.array(F.lit(COEFFICIENT_ESCAPE), F.shiftright(c, 16).bitwiseAND(65535), c.bitwiseAND(65535))
-    return F.when(F.abs(c) <= COEFFICIENT_LIMIT, F.array(zigzag(c))).otherwise(halves)
+    return F.when(c.between(-COEFFICIENT_LIMIT, COEFFICIENT_LIMIT), F.array(zigzag(c))).otherwise(halves)
 
 
 def colour_forward(r, g, b) -> dict[str, Column]:

@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _lift(df: DataFrame, keys: list[str], at: str, value: str, predict: int, first: str) -> DataFrame:
-    """Both lifting steps along `at`; predict is -1 forward and 1 back, `first` the step taken first."""
-    w = Window.partitionBy(*keys).orderBy(at)
+def _lift(df: DataFrame, keys: list[str], at: str, value: str, predict: int, first: str, only: str | None = None) -> DataFrame:
+    """Both lifting steps along `at`; predict is -1 forward and 1 back, `first` the step taken first.  `only` names a column of the cells to lift, which see no others."""
+    w = Window.partitionBy(*keys, *([only] if only else [])).orderBy(at)
     odd = F.pmod(F.col(at), F.lit(2)) == 1
-    alone = F.count("*").over(Window.partitionBy(*keys)) < 2
+    taken = F.col(only) if only else F.lit(True)
 
     def step(d: DataFrame, name: str) -> DataFrame:
         before, after = F.lag(value).over(w), F.lead(value).over(w)
         if name == "odd":  # an odd sample always has a left neighbour
-            changed = F.col(value) + predict * F.shiftright(before + F.coalesce(after, before), 1)
-            return d.withColumn(value, F.when(odd, changed).otherwise(F.col(value)))
+            return d.withColumn(value, F.when(taken & odd, F.col(value) + predict * F.shiftright(before + F.coalesce(after, before), 1)).otherwise(F.col(value)))
         changed = F.col(value) - predict * F.shiftright(F.coalesce(before, after) + F.coalesce(after, before) + 2, 2)
-        return d.withColumn(value, F.when(odd | alone, F.col(value)).otherwise(changed))
+        return d.withColumn(value, F.when(taken & ~odd, F.coalesce(changed, F.col(value))).otherwise(F.col(value)))  # one without neighbours stays
 
     for name in (first, "even" if first == "odd" else "odd"):
         df = step(df, name)
@@ -43,12 +42,12 @@ def inverse_interleaved(df: DataFrame, key: str = "image_id") -> DataFrame:
     return inverse(inverse(df.select(key, "y", "x", "v"), [key, "x"], "y"), [key, "y"], "x")
 
 
-def _half(at: str, size: str, back: bool = False) -> Column:
+def _half(at: str, size: Column, back: bool = False) -> Column:
     """Interleaved position to separated position (low half first), or back."""
-    low = F.floor((F.col(size) + 1) / 2)
+    low = F.shiftright(size + 1, 1)
     if back:
         return F.when(F.col(at) < low, 2 * F.col(at)).otherwise(2 * (F.col(at) - low) + 1).cast("int")
-    return F.when(F.pmod(F.col(at), F.lit(2)) == 0, F.floor(F.col(at) / 2)).otherwise(low + F.floor(F.col(at) / 2)).cast("int")
+    return F.when(F.pmod(F.col(at), F.lit(2)) == 0, F.shiftright(F.col(at), 1)).otherwise(low + F.shiftright(F.col(at), 1)).cast("int")
 
 
 def _sized(df: DataFrame, key: str) -> DataFrame:
@@ -56,34 +55,52 @@ def _sized(df: DataFrame, key: str) -> DataFrame:
     return df.withColumns({"rows": F.max("y").over(w) + 1, "cols": F.max("x").over(w) + 1})
 
 
+def sizes(df: DataFrame, key: str = "image_id") -> DataFrame:
+    """key, rows, cols."""
+    return df.groupBy(key).agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("cols"))
+
+
+def _at_level(size: str, level: int) -> Column:
+    """The height or width of the low corner after so many levels."""
+    return F.shiftright(F.col(size) + ((1 << level) - 1), level)
+
+
+def _corner(df: DataFrame, level: int) -> DataFrame:
+    return df.withColumn("low_", (F.col("y") < _at_level("rows", level)) & (F.col("x") < _at_level("cols", level)))
+
+
+def _moved(df: DataFrame, level: int, back: bool) -> DataFrame:
+    places = {c: F.when(F.col("low_"), _half(c, _at_level(size, level), back)).otherwise(F.col(c)) for c, size in (("x", "cols"), ("y", "rows"))}
+    return df.withColumns(places)
+
+
 def forward_2d(df: DataFrame, levels: int = 1, key: str = "image_id") -> DataFrame:
-    """key, y, x, v of a full rectangular grid to its coefficients, subbands apart; each further level takes the low corner."""
+    """key, y, x, v of a full rectangular grid to its coefficients, subbands apart; each further level takes the low corner.
+
+    All cells stay in one relation, of which each level lifts those of its corner, so
+    the plan grows by two sorts a level.
+    """
     now = _sized(df.select(key, "y", "x", "v"), key)
-    done = None
-    for _ in range(levels):
-        now = forward(forward(now, [key, "y"], "x"), [key, "x"], "y")
-        now = now.withColumns({"x": _half("x", "cols"), "y": _half("y", "rows")})
-        low = (F.col("x") < F.floor((F.col("cols") + 1) / 2)) & (F.col("y") < F.floor((F.col("rows") + 1) / 2))
-        details = now.where(~low).select(key, "y", "x", "v")
-        done = details if done is None else done.unionByName(details)
-        now = now.where(low).withColumns({"rows": F.floor((F.col("rows") + 1) / 2).cast("int"), "cols": F.floor((F.col("cols") + 1) / 2).cast("int")})
-    return (now.select(key, "y", "x", "v") if done is None else done.unionByName(now.select(key, "y", "x", "v")))
+    for level in range(levels):
+        now = _corner(now, level)
+        now = _lift(_lift(now, [key, "y"], "x", "v", -1, "odd", "low_"), [key, "x"], "y", "v", -1, "odd", "low_")
+        now = _moved(now, level, False)
+    return now.select(key, "y", "x", "v")
 
 
 def inverse_2d(df: DataFrame, levels: int = 1, key: str = "image_id") -> DataFrame:
     """Back from forward_2d, the coarsest level first."""
-    whole = _sized(df.select(key, "y", "x", "v"), key)
-    sizes = {0: (F.col("rows"), F.col("cols"))}
-    for k in range(1, levels + 1):
-        sizes[k] = tuple(F.floor((s + 1) / 2) for s in sizes[k - 1])
-    for k in range(levels, 0, -1):
-        rows, cols = sizes[k - 1]
-        inside = (F.col("y") < rows) & (F.col("x") < cols)
-        part = whole.where(inside).withColumns({"r_": rows.cast("int"), "c_": cols.cast("int")})
-        part = part.withColumns({"x": _half("x", "c_", True), "y": _half("y", "r_", True)})
-        part = inverse(inverse(part, [key, "x"], "y"), [key, "y"], "x").drop("r_", "c_")
-        whole = whole.where(~inside).unionByName(part)
-    return whole.select(key, "y", "x", "v")
+    now = _sized(df.select(key, "y", "x", "v"), key)
+    for level in range(levels - 1, -1, -1):
+        now = _moved(_corner(now, level), level, True)
+        now = _lift(_lift(now, [key, "x"], "y", "v", 1, "even", "low_"), [key, "y"], "x", "v", 1, "even", "low_")
+    return now.select(key, "y", "x", "v")
+
+
+def places(sized: DataFrame, levels: int, key: str = "image_id") -> DataFrame:
+    """key, seq, y, x: where each coefficient in scan order belongs, from the pictures' sizes (key, rows, cols) alone."""
+    cells = sized.select(key, "cols", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("y")).select(key, "y", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("x"))
+    return scan_order(cells, levels, key).select(key, "seq", "y", "x")
 
 
 def subbands(df: DataFrame, levels: int, key: str = "image_id") -> DataFrame:
