@@ -211,30 +211,71 @@ def decoded_planes(blobs: DataFrame, keys: list[str]) -> DataFrame:
     return blobs.select(*keys, "data").mapInArrow(run, f"{kinds}, y int, x int, v int")
 
 
-def coded_streams(symbols: DataFrame, keys: list[str], coder: str = "tans") -> DataFrame:
-    """keys, data, n_symbols, length: each group's symbols, in the order of seq, coded."""
-    kinds = ", ".join(f"{k} {symbols.schema[k].dataType.simpleString()}" for k in keys)
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def coded_streams(symbols: DataFrame, keys: list[str], coder: str = "tans", runs_depth: int | None = None) -> DataFrame:
+    """keys, data, n_symbols, length: each group's symbols, in the order of seq, coded; with runs_depth, their run words are."""
 
     def run(data):
         order = np.argsort(column(data, "seq"), kind="stable")
-        blob = coders.encode(column(data, "sym")[order], coder)
+        sym = column(data, "sym")[order]
+        blob = coders.encode(sym if runs_depth is None else run_words(sym, runs_depth), coder)
         head = [pa.array([data.column(k)[0].as_py()], data.column(k).type) for k in keys]
         return pa.table([*head, pa.array([blob], pa.binary()), pa.array([len(order)], pa.int64()), pa.array([len(blob)], pa.int64())], names=[*keys, "data", "n_symbols", "length"])
 
-    return symbols.select(*keys, "seq", "sym").groupBy(*keys).applyInArrow(run, f"{kinds}, data binary, n_symbols long, length long")
+    return symbols.select(*keys, "seq", "sym").groupBy(*keys).applyInArrow(run, f"{_kinds(symbols, keys)}, data binary, n_symbols long, length long")
 
 
-def decoded_streams(blobs: DataFrame, keys: list[str]) -> DataFrame:
-    kinds = ", ".join(f"{k} {blobs.schema[k].dataType.simpleString()}" for k in keys)
+def decoded_streams(blobs: DataFrame, keys: list[str], runs_depth: int | None = None) -> DataFrame:
+    """keys, seq, sym from data; runs_depth as it was coded."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 out = coders.decode_any(batch.column(len(keys))[i].as_py())
+                out = out if runs_depth is None else unrun_words(out, runs_depth)
                 head = [pa.array([batch.column(k)[i].as_py()] * len(out), batch.schema.field(k).type) for k in range(len(keys))]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(np.arange(len(out))), pa.array(out.astype("int32"))], [*keys, "seq", "sym"])
 
-    return blobs.select(*keys, "data").mapInArrow(run, f"{kinds}, seq long, sym int")
+    return blobs.select(*keys, "data").mapInArrow(run, f"{_kinds(blobs, keys)}, seq long, sym int")
+
+
+def unrun_streams(words: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """keys, seq, sym of whole streams of run words (word_no, word), which say their length in two words first."""
+
+    def run(data):
+        word = column(data, "word")[np.argsort(column(data, "word_no"), kind="stable")]
+        out = unrun_words(word[2:], depth)
+        if len(out) != (int(word[0]) << 16) + int(word[1]):
+            raise ValueError("a stream of runs doesn't have the length that it says")
+        head = [pa.array([data.column(k)[0].as_py()] * len(out), data.column(k).type) for k in keys]
+        return pa.table([*head, pa.array(np.arange(len(out))), pa.array(out.astype("int32"))], names=[*keys, "seq", "sym"])
+
+    return words.select(*keys, "word_no", "word").groupBy(*keys).applyInArrow(run, f"{_kinds(words, keys)}, seq long, sym int")
+
+
+def coefficients(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq, v from coefficient words (seq, sym): zigzagged, or the escape and 32 bits in two words."""
+
+    def run(data):
+        word = column(data, "sym")[np.argsort(column(data, "seq"), kind="stable")]
+        out, at = [], 0
+        while at < len(word):  # literals up to the next escape, then the escape
+            ahead = np.flatnonzero(word[at:] == 65535)
+            to = at + int(ahead[0]) if len(ahead) else len(word)
+            part = word[at:to]
+            out.append((part >> 1) ^ -(part & 1))
+            if to < len(word):
+                wide = (int(word[to + 1]) << 16) | int(word[to + 2])
+                out.append(np.array([wide - (1 << 32) if wide >> 31 else wide]))
+            at = to + 3
+        out = np.concatenate(out) if out else word
+        head = [pa.array([data.column(k)[0].as_py()] * len(out), data.column(k).type) for k in keys]
+        return pa.table([*head, pa.array(np.arange(len(out))), pa.array(out.astype("int32"))], names=[*keys, "seq", "v"])
+
+    return words.select(*keys, "seq", "sym").groupBy(*keys).applyInArrow(run, f"{_kinds(words, keys)}, seq long, v int")
 
 
 def mismatches(one: DataFrame, two: DataFrame, on: list[str], value: str, group: str) -> DataFrame:

@@ -49,9 +49,9 @@ def words(symbols: DataFrame, depth: int, key: str = "image_id") -> DataFrame:
     return each.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("seq", "part")) - 1).alias("word_no"), "word")
 
 
-def expand(run_rows: DataFrame, symbols: DataFrame, key: str = "image_id") -> DataFrame:
-    """key, seq, sym: equal runs from their rows alone, literals from the symbols they stand for."""
-    places = run_rows.select(key, "kind", "value", F.explode(F.sequence(F.col("start_seq"), F.col("start_seq") + F.col("len") - 1)).alias("seq"))
-    same = places.where("kind = 'same'").select(key, "seq", F.col("value").alias("sym"))
-    literal = places.where("kind = 'diff'").select(key, "seq").join(symbols.select(key, "seq", "sym"), [key, "seq"])
-    return same.unionByName(literal)
+def with_length(rows: DataFrame, symbols: DataFrame, key: str = "image_id") -> DataFrame:
+    """key, word_no, word of whole streams: two words say first how many symbols there are, the high 16 bits before the low ones."""
+    n = symbols.groupBy(key).agg(F.count("*").alias("n"))
+    head = n.select(key, F.posexplode(F.array(F.shiftright("n", 16), F.col("n").bitwiseAND(65535))).alias("word_no", "word"))
+    whole = lambda d, before: d.select(key, (F.col("word_no") + before).cast("long").alias("word_no"), F.col("word").cast("int").alias("word"))
+    return whole(head, 0).unionByName(whole(rows, 2))

@@ -22,8 +22,8 @@ def grid(spark, sf_dir) -> DataFrame:
 
 
 def full_grid(spark, sf_dir) -> DataFrame:
-    """The grid without short last rows, as transforms of rectangles ask for."""
-    return grid(spark, sf_dir).withColumn("c", F.count("*").over(Window.partitionBy("image_id", "y"))).where(F.col("c") == signals.GRID_WIDTH).drop("c")
+    """The grid with its short last rows filled up, as transforms of rectangles ask for."""
+    return signals.grey_grid(spark, sf_dir, whole=True)
 
 
 # Prediction
@@ -188,8 +188,9 @@ def rle_tokens(spark, sf_dir):
 
 @register("rle_roundtrip", f"WITH {Q.RUNS} SELECT image_id, seq, sym FROM s")
 def rle_roundtrip(spark, sf_dir):
+    """Symbols from the words alone, with their length in front."""
     symbols = coarse_symbols(spark, sf_dir)
-    return runs.expand(runs.runs(symbols, 4), symbols)
+    return kernels.unrun_streams(runs.with_length(runs.words(symbols, 4), symbols), ["image_id"], 4)
 
 
 # Histograms and what follows from them
@@ -418,8 +419,7 @@ def tile_codec_roundtrip(spark, sf_dir):
 @register("rgb_codec_roundtrip", f"WITH {Q.FULL} SELECT image_id, 3 * count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM full_rows GROUP BY image_id")
 def rgb_codec_roundtrip(spark, sf_dir):
     """Colour transform, one coded plane per component, and back."""
-    full = full_grid(spark, sf_dir).select("image_id", "y", "x")
-    rgb = signals.colour_grid(spark, sf_dir).join(full, ["image_id", "y", "x"])
+    rgb = signals.colour_grid(spark, sf_dir, whole=True)
     c = S.colour_forward("r", "g", "b")
     parts = rgb.select("image_id", "y", "x", c["luma"].alias("a"), S.zigzag(c["co"]).alias("b"), S.zigzag(c["cg"]).alias("c")).selectExpr("image_id", "y", "x", "stack(3, 0, a, 1, b, 2, c) AS (plane, v)")
     back = kernels.decoded_planes(kernels.encoded_planes(parts, ["image_id", "plane"], "avg", "huffman"), ["image_id", "plane"])
@@ -431,15 +431,98 @@ def rgb_codec_roundtrip(spark, sf_dir):
 
 @register("wavelet_codec_roundtrip", ALL_FULL)
 def wavelet_codec_roundtrip(spark, sf_dir):
-    """Separated coefficients in scan order, zigzagged, coded as one stream per image, and transformed back."""
+    """Separated coefficients in scan order, zigzagged, coded as one stream per image, and transformed back; places follow from the pictures' sizes."""
     full = full_grid(spark, sf_dir)
     ordered = wavelet.scan_order(wavelet.forward_2d(full, LEVELS), LEVELS)
     blobs = kernels.coded_streams(ordered.select("image_id", "seq", S.zigzag("v").alias("sym")), ["image_id"])
-    back = kernels.decoded_streams(blobs, ["image_id"]).join(ordered.select("image_id", "seq", "y", "x"), ["image_id", "seq"])
+    back = kernels.decoded_streams(blobs, ["image_id"]).join(wavelet.places(wavelet.sizes(full), LEVELS), ["image_id", "seq"])
     samples = wavelet.inverse_2d(back.select("image_id", "y", "x", S.unzigzag("sym").alias("v")), LEVELS)
     return kernels.mismatches(full, samples, ["image_id", "y", "x"], "v", "image_id")
 
 
+@register("wavelet_words_codec_roundtrip", ALL_FULL)
+def wavelet_words_codec_roundtrip(spark, sf_dir):
+    """Coefficients as words with escapes, runs of them coded, and everything back from the coded streams and the pictures' sizes."""
+    full = full_grid(spark, sf_dir)
+    ordered = wavelet.scan_order(wavelet.forward_2d(full, LEVELS), LEVELS)
+    words = ordered.select("image_id", (3 * F.col("seq")).alias("at"), F.posexplode(S.coefficient_words("v")).alias("part", "sym"))
+    blobs = kernels.coded_streams(words.select("image_id", (F.col("at") + F.col("part")).alias("seq"), "sym"), ["image_id"], "rans", runs_depth=16)
+    back = kernels.coefficients(kernels.decoded_streams(blobs, ["image_id"], runs_depth=16), ["image_id"])
+    placed = back.join(wavelet.places(wavelet.sizes(full), LEVELS), ["image_id", "seq"]).select("image_id", "y", "x", "v")
+    return kernels.mismatches(full, wavelet.inverse_2d(placed, LEVELS), ["image_id", "y", "x"], "v", "image_id")
+
+
+@register("interleaved_words_codec_roundtrip", ALL_FULL)
+def interleaved_words_codec_roundtrip(spark, sf_dir):
+    """As above, with one level of coefficients where their samples were, in raster order."""
+    full = full_grid(spark, sf_dir)
+    words = wavelet.forward_interleaved(full).select("image_id", (3 * (F.col("y") * signals.GRID_WIDTH + F.col("x"))).alias("at"), F.posexplode(S.coefficient_words("v")).alias("part", "sym"))
+    blobs = kernels.coded_streams(words.select("image_id", (F.col("at") + F.col("part")).alias("seq"), "sym"), ["image_id"], "tans", runs_depth=16)
+    back = kernels.coefficients(kernels.decoded_streams(blobs, ["image_id"], runs_depth=16), ["image_id"])
+    placed = back.select("image_id", F.expr(f"CAST(seq div {signals.GRID_WIDTH} AS INT)").alias("y"), F.expr(f"CAST(seq % {signals.GRID_WIDTH} AS INT)").alias("x"), "v")
+    return kernels.mismatches(full, wavelet.inverse_interleaved(placed), ["image_id", "y", "x"], "v", "image_id")
+
+
+@register("adaptive_strip_codec_roundtrip", ALL_FULL)
+def adaptive_strip_codec_roundtrip(spark, sf_dir):
+    """Strips of equal cost, each coded with both predictors, the smaller coding kept in a container, and decoded from it."""
+    full = full_grid(spark, sf_dir)
+    strips = partition.to_strips(full, partition.adaptive_strips(partition.row_costs(full), 8))
+    keys = ["image_id", "strip_id"]
+    coded = kernels.encoded_planes(strips, keys, "grad").unionByName(kernels.encoded_planes(strips, keys, "avg"))
+    best = coded.groupBy(*keys).agg(F.min_by(F.struct("data", "n_samples", "length"), F.struct("length", "data")).alias("b")).select(*keys, "b.*")
+    packed = container.write(best, "image_id", "strip_id", "strips")
+    found = container.slices(packed, container.read_index(packed, "image_id"), "image_id").select("image_id", F.col("attribute").cast("int").alias("strip_id"), "data")
+    back = kernels.decoded_planes(found, keys)
+    first = strips.groupBy(*keys).agg(F.min("y").alias("y0"))
+    return kernels.mismatches(full, back.join(first, keys).select("image_id", (F.col("y") + F.col("y0")).alias("y"), "x", "v"), ["image_id", "y", "x"], "v", "image_id")
+
+
+@register("frame_default_codec_roundtrip", f"WITH {Q.FRAMES} SELECT series, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM frames GROUP BY series")
+def frame_default_codec_roundtrip(spark, sf_dir):
+    """Independent frames of 8 by 8 samples: average, runs and tANS, to the end and back; a short last frame is cut by its length."""
+    frames = signals.event_frames(spark, sf_dir)
+    planes = frames.select("series", "frame", F.expr("CAST(px div 8 AS INT)").alias("y"), (F.col("px") % 8).alias("x"), "v")
+    blobs = kernels.encoded_planes(planes, ["series", "frame"], "avg", "tans", True)
+    back = kernels.decoded_planes(blobs, ["series", "frame"]).join(blobs.select("series", "frame", "n_samples"), ["series", "frame"])
+    cells = back.select("series", "frame", (F.col("y") * 8 + F.col("x")).alias("px"), "v", "n_samples").where("px < n_samples")
+    return kernels.mismatches(frames, cells, ["series", "frame", "px"], "v", "series")
+
+
+@register("residual_frames_codec_roundtrip", f"WITH {Q.FRAMES} SELECT series, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM frames GROUP BY series")
+def residual_frames_codec_roundtrip(spark, sf_dir):
+    """Temporal residuals as runs under a coder."""
+    frames = signals.event_frames(spark, sf_dir)
+    coded = predict.frame_residuals(frames)
+    blobs = kernels.coded_streams(coded.select("series", "frame", F.col("px").alias("seq"), F.col("res").alias("sym")), ["series", "frame"], "tans", runs_depth=11)
+    back = kernels.decoded_streams(blobs, ["series", "frame"], runs_depth=11).select("series", "frame", F.col("seq").cast("int").alias("px"), F.col("sym").alias("res"), (F.col("frame") == 0).alias("is_first"))
+    return kernels.mismatches(frames, predict.undo_frames(back), ["series", "frame", "px"], "v", "series")
+
+
+@register("gap_gated_codec_roundtrip", STREAMS)
+def gap_gated_codec_roundtrip(spark, sf_dir):
+    """Compact indices only for the images whose map pays; the map is a list of symbols beside the stream, and decoding asks it alone."""
+    symbols = residual_symbols(spark, sf_dir)
+    hist = stats.histogram(symbols, "image_id")
+    gate = codebook.map_sizes(hist, "image_id").select("image_id", "pays")
+    maps = hist.groupBy("image_id").agg(F.array_sort(F.collect_list("sym")).alias("used")).join(gate, "image_id").select("image_id", F.when(F.col("pays"), F.col("used")).alias("used"))
+    gated = symbols.join(gate, "image_id")
+    compact = codebook.remap(gated.where("pays").select("image_id", "seq", "sym"), hist, "image_id").select("image_id", "seq", F.col("idx").cast("int").alias("sym"))
+    idx = compact.unionByName(gated.where("NOT pays").select("image_id", "seq", "sym"))
+    back = kernels.decoded_streams(kernels.coded_streams(idx, ["image_id"]), ["image_id"]).join(maps, "image_id")
+    return kernels.mismatches(symbols, back.select("image_id", "seq", F.coalesce(F.get("used", F.col("sym")), F.col("sym")).alias("sym")), ["image_id", "seq"], "sym", "image_id")
+
+
+@register("coded_size_bounds", f"WITH {Q.residuals('avg')} SELECT image_id, true AS above, true AS below FROM res GROUP BY image_id")
+def coded_size_bounds(spark, sf_dir):
+    """Whether each image's tANS stream lies between the entropy of its symbols and that and a tenth, with room for its table."""
+    symbols = residual_symbols(spark, sf_dir)
+    sizes = kernels.coded_streams(symbols, ["image_id"]).select("image_id", (8 * F.col("length")).alias("bits"))
+    least = stats.summary(stats.histogram(symbols, "image_id"), "image_id").select("image_id", (F.col("n") * F.col("entropy")).alias("least"), "distinct_syms")
+    both = sizes.join(least, "image_id")
+    return both.select("image_id", (F.col("bits") >= F.col("least") * 0.99 - 64).alias("above"), (F.col("bits") <= 1.1 * F.col("least") + 64 * F.col("distinct_syms") + 1024).alias("below"))
+
+
 @register("gap_codec_roundtrip", STREAMS)
 def gap_codec_roundtrip(spark, sf_dir):
     """Residual symbols by compact index, coded, decoded and looked up again."""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 GRID = """grid AS (
   SELECT image_id, CAST((rn - 1) // 64 AS INT) AS y, CAST((rn - 1) % 64 AS INT) AS x, v, r, g, b FROM (
-    SELECT CAST(l_suppkey % 8 AS INT) AS image_id,
-           row_number() OVER (PARTITION BY l_suppkey % 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) AS rn,
+    SELECT CAST(l_suppkey // 4 AS INT) AS image_id,
+           row_number() OVER (PARTITION BY l_suppkey // 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) AS rn,
            CAST(CAST(l_quantity AS BIGINT) * 64 + CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS INT) AS v,
            CAST(floor(l_quantity * 5) AS INT) AS r, CAST(l_partkey % 256 AS INT) AS g, CAST(l_orderkey % 256 AS INT) AS b
     FROM lineitem))"""
 
 FULL = GRID + """,
-full_rows AS (SELECT g.* FROM grid g JOIN (SELECT image_id, y FROM grid GROUP BY image_id, y HAVING count(*) = 64) USING (image_id, y))"""
+full_rows AS (
+  SELECT image_id, y, x, v, r, g, b FROM grid
+  UNION ALL SELECT image_id, y, CAST(p AS INT), 0, 0, 0, 0 FROM (SELECT image_id, y, count(*) AS c FROM grid GROUP BY image_id, y), unnest(range(c, 64)) AS t(p))"""
 
 NEAR = GRID + """,
 near AS (
@@ -64,7 +66,7 @@ logs AS (
 
 FRAMES = """frames AS (
   SELECT series, CAST((rn - 1) // 64 AS INT) AS frame, CAST((rn - 1) % 64 AS INT) AS px, v & 1023 AS v FROM (
-    SELECT CAST(user_id % 16 AS INT) AS series, CAST(floor(value) AS INT) AS v, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS rn FROM events))"""
+    SELECT CAST(user_id // 8 AS INT) AS series, CAST(floor(value) AS INT) AS v, row_number() OVER (PARTITION BY user_id // 8 ORDER BY ts, event_id) AS rn FROM events))"""
 
 RUNS = GRID + """,
 s AS (SELECT image_id, CAST(y AS BIGINT) * 64 + x AS seq, CAST(v // 512 AS INT) AS sym FROM grid),

@@ -31,8 +31,9 @@ def pack(parts: list[bytes], kind: str, attributes: tuple[int, ...] = ()) -> byt
     return b"".join([HEAD.pack(MAGIC, KINDS[kind], len(parts), len(attributes)), struct.pack(f"<{len(attributes)}q", *attributes), *table, *parts])
 
 
-def header(blob: bytes) -> dict:
-    """kind, attributes, entries as (offset, length), and start of the first part; checks sizes."""
+def header(blob: bytes, size: int | None = None) -> dict:
+    """kind, attributes, entries as (offset, length), and start of the first part; checks sizes.  With a size, blob may be the head alone."""
+    size = len(blob) if size is None else size
     if len(blob) < HEAD.size:
         raise BadContainer("shorter than a header")
     magic, kind, n, attributes = HEAD.unpack_from(blob)
@@ -42,7 +43,7 @@ def header(blob: bytes) -> dict:
     if len(blob) < start:
         raise BadContainer("cut short in the table")
     entries = [struct.unpack_from("<QQ", blob, HEAD.size + 8 * attributes + 16 * i) for i in range(n)]
-    if any(start + at + size > len(blob) for at, size in entries):
+    if any(start + at + length > size for at, length in entries):
         raise BadContainer("an entry lies outside")
     return {"kind": kind, "attributes": struct.unpack_from(f"<{attributes}q", blob, HEAD.size), "entries": entries, "start": start}
 
@@ -68,19 +69,20 @@ def write(parts: DataFrame, key: str, order: str, kind: str) -> DataFrame:
 
 
 def read_index(containers: DataFrame, key: str) -> DataFrame:
-    """key, entry_no, attribute, offset (in the container), length, from the headers."""
+    """key, entry_no, attribute, offset (in the container), length, from the headers; only these go to Python."""
     kind_of_key = containers.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                head = header(batch.column(1)[i].as_py())
+                head = header(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
                 n = len(head["entries"])
                 attributes = head["attributes"] if len(head["attributes"]) == n else [None] * n
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, batch.column(0).type), pa.array(range(n), pa.int32()), pa.array(attributes, pa.int64()), pa.array([head["start"] + a for a, _ in head["entries"]], pa.int64()), pa.array([s for _, s in head["entries"]], pa.int64())], [key, "entry_no", "attribute", "offset", "length"])
 
-    # only heads are sent to Python: the table's size is known from the counts in it
-    return containers.select(key, "container").mapInArrow(run, f"{key} {kind_of_key}, entry_no int, attribute long, offset long, length long")
+    number = lambda at: "conv(concat(" + ", ".join(f"hex(substring(container, {at + k}, 1))" for k in (3, 2, 1, 0)) + "), 16, 10)"
+    head = F.expr(f"substring(container, 1, {HEAD.size} + CAST(least(16 * {number(9)} + 8 * {number(13)}, octet_length(container)) AS INT))")
+    return containers.select(key, head.alias("head"), F.octet_length("container").alias("size")).mapInArrow(run, f"{key} {kind_of_key}, entry_no int, attribute long, offset long, length long")
 
 
 def slices(containers: DataFrame, index: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastrum.functions import scalars as S
-from rastrum.operators import codebook, partition, predict, runs, stats, wavelet
+from rastrum.operators import codebook, kernels, partition, predict, runs, stats, wavelet
 
 
 def grid_of(spark, planes):
@@ -14,8 +14,8 @@ def grid_of(spark, planes):
 
 def test_colour_known_value_and_round_trip(spark):
     c = S.colour_forward("r", "g", "b")
-    one = spark.sql("SELECT 200 r, 100 g, 50 b").select(*(e.alias(n) for n, e in c.items())).first()
-    assert (one.luma, one.co, one.cg) == (112, 150, -25)
+    one = spark.sql("SELECT 9 r, 4 g, 2 b").select(*(e.alias(n) for n, e in c.items())).first()
+    assert (one.luma, one.co, one.cg) == (4, 7, -1)  # co = 9 - 2, t = 2 + 3, cg = 4 - 5, luma = 5 - 1
     cube = spark.range(0, 1 << 24, 37).selectExpr("CAST(id & 255 AS INT) r", "CAST((id >> 8) & 255 AS INT) g", "CAST(id >> 16 AS INT) b")
     back = cube.select("r", "g", "b", *(e.alias(n) for n, e in c.items()))
     again = S.colour_inverse("luma", "co", "cg")
@@ -54,6 +54,21 @@ def test_wavelet_round_trip_of_odd_sizes(spark, shape):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, grid.collect()))
 
 
+def test_many_levels_and_places(spark):
+    plane = [[(7 * y + 3 * x * x) % 251 for x in range(33)] for y in range(20)]
+    grid = grid_of(spark, [plane])
+    coded = wavelet.scan_order(wavelet.forward_2d(grid, 5), 5)
+    placed = coded.select("image_id", "seq", "v").join(wavelet.places(wavelet.sizes(grid), 5), ["image_id", "seq"])
+    assert sorted(map(tuple, wavelet.inverse_2d(placed, 5).collect())) == sorted(map(tuple, grid.collect()))
+
+
+def test_coefficient_words_come_back(spark):
+    values = [0, 1, -1, 32767, -32767, 32768, -32768, 70000, -(1 << 31), (1 << 31) - 1, 5]
+    words = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "image_id int, at int, v int").select("image_id", "at", F.posexplode(S.coefficient_words("v")).alias("part", "sym"))
+    back = kernels.coefficients(words.select("image_id", (3 * F.col("at") + F.col("part")).alias("seq"), "sym"), ["image_id"])
+    assert [r.v for r in back.orderBy("seq").collect()] == values
+
+
 def python_runs(stream, depth):
     """Count words and payload, taken symbol by symbol."""
     most, out, i, n = (1 << (depth - 1)) - 2, [], 0, len(stream)
@@ -77,12 +92,12 @@ def python_runs(stream, depth):
     return out
 
 
-@pytest.mark.parametrize("stream", [[256, 256, 256, 1025, 457, 457, 457, 8000, 1], [1], [1, 1], [2] * 40, [1, 2] * 30, [0, 1] * 6 + [5] * 20 + [1, 1, 2, 2, 3, 3]])
+@pytest.mark.parametrize("stream", [[7, 7, 7, 7, 3, 12, 12, 12, 5, 5, 9], [1], [1, 1], [2] * 40, [1, 2] * 30, [0, 1] * 6 + [5] * 20 + [1, 1, 2, 2, 3, 3]])
 def test_run_words(spark, stream):
     depth = max(4, max(stream).bit_length())
     symbols = spark.createDataFrame([(0, i, v) for i, v in enumerate(stream)], "image_id int, seq long, sym int")
     assert [r.word for r in runs.words(symbols, depth).orderBy("word_no").collect()] == python_runs(stream, depth)
-    back = runs.expand(runs.runs(symbols, depth), symbols)
+    back = kernels.unrun_streams(runs.with_length(runs.words(symbols, depth), symbols), ["image_id"], depth)
     assert [r.sym for r in back.orderBy("seq").collect()] == stream
 
 
