@@ -97,12 +97,12 @@ def halved(grid: DataFrame, key: str = "image_id", values: tuple[str, ...] = ("v
     return sums.where("c = 4").select(key, "y", "x", *(box_value(v).alias(v) for v in values))
 
 
-def pyramid(grid: DataFrame, levels: int, key: str = "image_id") -> DataFrame:
-    """level, key, y, x, v of all levels."""
-    out, now = grid.select(F.lit(0).alias("level"), key, "y", "x", "v"), grid
+def pyramid(grid: DataFrame, levels: int, key: str = "image_id", values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """level, key, y, x and values of all levels."""
+    out, now = grid.select(F.lit(0).alias("level"), key, "y", "x", *values), grid
     for level in range(1, levels):
-        now = halved(now, key)
-        out = out.unionByName(now.select(F.lit(level).alias("level"), key, "y", "x", "v"))
+        now = halved(now, key, values)
+        out = out.unionByName(now.select(F.lit(level).alias("level"), key, "y", "x", *values))
     return out
 
 

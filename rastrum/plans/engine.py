@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rastrum.functions import scalars as S
 from rastrum.operators import codebook, kernels, partition, predict, runs, stats, wavelet
+from rastrum.sources import container
 
 
 @dataclass(frozen=True)
@@ -83,3 +85,66 @@ def decode_region(blobs: DataFrame, level: int, x: int, y: int, w: int, h: int,
     samples = Codec().decode(touched, [key, "tile_y", "tile_x"])
     placed = samples.select(key, (F.col("tile_y") * tile + F.col("y")).alias("y"), (F.col("tile_x") * tile + F.col("x")).alias("x"), "v")
     return placed.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))
+
+
+#: Bits of a tile's number in a container: plane, column, row, level, from the lowest.
+PLANE_BITS, PLACE_BITS = 2, 28
+COLOURS = ("r", "g", "b")
+
+
+def _number(level, tile_y, tile_x, plane):
+    return F.shiftleft(F.shiftleft(F.shiftleft(level.cast("long"), PLACE_BITS) + tile_y, PLACE_BITS) + tile_x, PLANE_BITS) + plane
+
+
+def encode_rgb_pyramid(grid: DataFrame, levels: int, tile: int, codec: Codec | None = None, key: str = "image_id") -> DataFrame:
+    """key, container: a picture's header and the coded tiles of all its levels, three planes each.
+
+    The header, entry -1, is width, height, tile size and number of levels in 32 bits each.
+    """
+    cells = partition.pyramid(grid, levels, key, COLOURS)
+    c = S.colour_forward(*COLOURS)
+    planes = cells.select(key, "level", "y", "x", c["luma"].alias("a"), S.zigzag(c["co"]).alias("b"), S.zigzag(c["cg"]).alias("c"))
+    planes = planes.select(key, "level", "y", "x", F.posexplode(F.array("a", "b", "c")).alias("plane", "v"))
+    coded = (codec or Codec()).encode(partition.tiles(planes, tile, tile), [key, "level", "tile_y", "tile_x", "plane"])
+    tiles = coded.select(key, _number(F.col("level"), F.col("tile_y"), F.col("tile_x"), F.col("plane")).alias("at"), "data")
+    word = lambda value: F.lpad(F.hex(value), 8, "0")
+    size = grid.groupBy(key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    heads = size.select(key, F.lit(-1).cast("long").alias("at"), F.unhex(F.concat(word("w"), word("h"), word(F.lit(tile)), word(F.lit(levels)))).alias("data"))
+    return container.write(heads.unionByName(tiles), key, "at", "tiles")
+
+
+def pyramid_headers(containers: DataFrame, key: str = "image_id") -> DataFrame:
+    """key, width, height, tile, levels, from the containers' headers alone."""
+    index = container.read_index(containers, key).where("attribute = -1")
+    word = lambda k: F.conv(F.substring(F.hex("data"), 8 * k + 1, 8), 16, 10).cast("int")
+    return container.slices(containers, index, key).select(key, *(word(k).alias(n) for k, n in enumerate(("width", "height", "tile", "levels"))))
+
+
+def decode_rgb_tiles(containers: DataFrame, wanted: DataFrame, key: str = "image_id") -> DataFrame:
+    """key, level, tile_y, tile_x, y, x (in the tile), r, g, b of the wanted tiles (key, level, tile_y, tile_x); one that isn't there is an error."""
+    numbered = wanted.withColumn("plane", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    numbered = numbered.withColumn("attribute", _number(F.col("level"), F.col("tile_y"), F.col("tile_x"), F.col("plane")))
+    found = numbered.join(container.read_index(containers, key), [key, "attribute"], "left")
+    there = F.when(F.col("length").isNull(), F.raise_error(F.lit("there is no such tile")).cast("long")).otherwise(F.col("length"))
+    blobs = container.slices(containers, found.withColumn("length", there), key)
+    names = [key, "level", "tile_y", "tile_x", "plane"]
+    wide = kernels.decoded_planes(blobs.select(*names, "data"), names).groupBy(key, "level", "tile_y", "tile_x", "y", "x")
+    parts = wide.agg(*(F.max(F.when(F.col("plane") == k, F.col("v"))).alias(n) for k, n in enumerate("abc")))
+    back = S.colour_inverse("a", S.unzigzag("b"), S.unzigzag("c"))
+    return parts.select(key, "level", "tile_y", "tile_x", "y", "x", *(back[n].alias(n) for n in COLOURS))
+
+
+def decode_rgb_region(containers: DataFrame, level: int, x: int, y: int, w: int, h: int, key: str = "image_id") -> DataFrame:
+    """key, y, x, r, g, b of a rectangle of a level, cut at the picture's edge; a level or place that a picture lacks is an error."""
+    if level < 0 or x < 0 or y < 0 or w <= 0 or h <= 0:
+        raise ValueError("a region needs a level, a place in the picture and a size")
+    heads = pyramid_headers(containers, key).withColumns({"wide": F.shiftright("width", level), "high": F.shiftright("height", level)})
+    fault = F.when(F.col("levels") <= level, "there is no such level").when((F.col("wide") <= x) | (F.col("high") <= y), "the region lies outside of the picture")
+    heads = heads.withColumn("tile", F.when(fault.isNotNull(), F.raise_error(fault).cast("int")).otherwise(F.col("tile")))
+    last = lambda at, size, bound: F.floor((F.least(F.lit(at + size), F.col(bound)) - 1) / F.col("tile")).cast("int")
+    first = lambda at: F.floor(F.lit(at) / F.col("tile")).cast("int")
+    wanted = heads.select(key, "tile", F.lit(level).alias("level"), F.explode(F.sequence(first(y), last(y, h, "high"))).alias("tile_y"), first(x).alias("x0"), last(x, w, "wide").alias("x1"))
+    wanted = wanted.select(key, "tile", "level", "tile_y", F.explode(F.sequence("x0", "x1")).alias("tile_x"))
+    samples = decode_rgb_tiles(containers, wanted.drop("tile"), key).join(heads.select(key, "tile"), key)
+    placed = samples.select(key, (F.col("tile_y") * F.col("tile") + F.col("y")).alias("y"), (F.col("tile_x") * F.col("tile") + F.col("x")).alias("x"), *COLOURS)
+    return placed.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))

@@ -572,6 +572,21 @@ def pyramid_region(spark, sf_dir):
     return engine.decode_region(blobs, 1, 5, 3, 16, 26, 16)
 
 
+_RGB_HALF = "SELECT image_id, y // 2 AS y, x // 2 AS x, (sum(r) + 2) // 4 AS r, (sum(g) + 2) // 4 AS g, (sum(b) + 2) // 4 AS b FROM {} GROUP BY image_id, y // 2, x // 2 HAVING count(*) = 4"
+
+
+@register("rgb_pyramid_region", f"WITH {Q.FULL}, p1 AS ({_RGB_HALF.format('full_rows')}) SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM p1 WHERE x BETWEEN 5 AND 20 AND y BETWEEN 3 AND 28")
+def rgb_pyramid_region(spark, sf_dir):
+    """A rectangle of the second level, out of containers of coded colour tiles, found by their headers and tables."""
+    packed = engine.encode_rgb_pyramid(signals.colour_grid(spark, sf_dir, whole=True), 2, 16, engine.Codec("med", "rans"))
+    return engine.decode_rgb_region(packed, 1, 5, 3, 16, 26)
+
+
+@register("pyramid_header_parse", f"WITH {Q.FULL} SELECT image_id, CAST(max(x) + 1 AS INT) AS width, CAST(max(y) + 1 AS INT) AS height, 16 AS tile, 2 AS levels FROM full_rows GROUP BY image_id")
+def pyramid_header_parse(spark, sf_dir):
+    return engine.pyramid_headers(engine.encode_rgb_pyramid(signals.colour_grid(spark, sf_dir, whole=True), 2, 16))
+
+
 @register("run_word_entropy", f"WITH {Q.RUNS}, o AS (SELECT image_id, CASE WHEN kind = 'same' THEN len ELSE len + 7 END AS sym FROM pieces UNION ALL SELECT image_id, value FROM pieces WHERE kind = 'same' UNION ALL SELECT p.image_id, s.sym FROM pieces p JOIN s ON s.image_id = p.image_id AND s.seq BETWEEN p.start_seq AND p.start_seq + p.len - 1 WHERE kind = 'diff'), h AS (SELECT image_id, sym, count(*) AS cnt FROM o GROUP BY ALL), n AS (SELECT image_id, sum(cnt) AS n FROM h GROUP BY image_id) SELECT image_id, CAST(any_value(n) AS BIGINT) AS n, count(*) AS distinct_syms, abs(round(sum(-(cnt / n) * log2(cnt / n)), 6)) AS entropy FROM h JOIN n USING (image_id) GROUP BY image_id")
 def run_word_entropy(spark, sf_dir):
     """What the words of runs would take, from one lazy plan."""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastrum.functions import scalars as S
+from rastrum.plans import engine
 from rastrum.operators import codebook, kernels, partition, predict, runs, stats, wavelet
 
 
@@ -132,3 +133,19 @@ def test_regions_are_checked(spark):
         with pytest.raises(ValueError):
             partition.region(tiled, *bad, 4, 4)
     assert partition.level_count(256, 256, 256, 256) == 1 and partition.level_count(2048, 1536, 256, 256) == 4
+
+
+def test_colour_pyramid_is_checked(spark):
+    rows = [(1, y, x, 3 * x, 5 * y, x ^ y) for y in range(20) for x in range(24)]
+    packed = engine.encode_rgb_pyramid(spark.createDataFrame(rows, "image_id int, y int, x int, r int, g int, b int"), 2, 8)
+    assert tuple(engine.pyramid_headers(packed).first()) == (1, 24, 20, 8, 2)
+    got = engine.decode_rgb_region(packed, 0, 20, 15, 9, 9).collect()
+    assert sorted(map(tuple, got)) == sorted(r for r in rows if r[1] >= 15 and r[2] >= 20)
+    for bad in ((2, 0, 0, 1, 1), (1, 12, 0, 1, 1), (0, 0, 20, 1, 1)):
+        with pytest.raises(Exception, match="no such level|outside"):
+            engine.decode_rgb_region(packed, *bad).collect()
+    with pytest.raises(ValueError):
+        engine.decode_rgb_region(packed, 0, -1, 0, 1, 1)
+    missing = spark.createDataFrame([(1, 0, 9, 9)], "image_id int, level int, tile_y int, tile_x int")
+    with pytest.raises(Exception, match="no such tile"):
+        engine.decode_rgb_tiles(packed, missing).collect()
