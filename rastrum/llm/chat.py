@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import let
+from rastrum.llm.common import let, sums_before
 
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 
@@ -27,13 +27,12 @@ def learned(turns: Column, role: str) -> Column:
     """start:end of the text of each turn of `role`, with the end mark, in code points of the rendered turns."""
     size = lambda t: F.length(head(t)) + F.length(t["text"]) + len(CLOSE) + 1
 
-    def add(state: Column, t: Column) -> Column:
-        start = state["at"] + F.length(head(t))
-        span = F.concat_ws(":", start.cast("string"), (start + F.length(t["text"]) + len(CLOSE)).cast("string"))
-        out = F.when(t["role"] == role, F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct((state["at"] + size(t)).alias("at"), out.alias("out"))
+    def spans(starts: Column) -> Column:
+        begin = lambda t, i: F.get(starts, i) + F.length(head(t))
+        each = F.transform(turns, lambda t, i: F.when(t["role"] == role, F.concat_ws(":", begin(t, i).cast("string"), (begin(t, i) + F.length(t["text"]) + len(CLOSE)).cast("string"))))
+        return F.array_join(F.filter(each, lambda x: x.isNotNull()), ",")
 
-    return F.array_join(F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add)["out"], ",")
+    return F.when(F.size(turns) == 0, F.lit("")).otherwise(let(sums_before(F.transform(turns, size)), spans))
 
 
 def preference_pairs(turns: DataFrame, role: str = "assistant") -> DataFrame:

@@ -53,6 +53,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Elements of a block whose sums are taken together.
+SUM_BLOCK = 256
+
+
+def sums_before(lengths: Column) -> Column:
+    """For each element the sum of those before it; two levels keep the work near linear."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / SUM_BLOCK).cast("int")), lambda b: F.slice(lengths, b * SUM_BLOCK + 1, SUM_BLOCK))
+
+    def inside(block: Column, before: Column) -> Column:
+        return F.aggregate(block, F.struct(before.alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    return let(blocks, lambda bs: let(F.transform(bs, total), lambda ts: F.flatten(F.transform(bs, lambda b, k: inside(b, total(F.slice(ts, 1, k)))))))
+
+
 def words_of(text: Column) -> Column:
     """Maximal runs of other than ASCII white space; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

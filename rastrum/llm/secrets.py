@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import LOWER, UPPER, let, written
+from rastrum.llm.common import LOWER, UPPER, let, sums_before, written
 
 #: The base patterns, and what a match of each needs.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -43,7 +43,6 @@ LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60,
 BINS_PER_DIGIT, MAX_BIN = 4, 400
 #: Private-use characters that no pattern matches: marks, and what stands for marks in texts.
 MARK, STAND_IN = "", ""
-BLOCK = 256
 
 #: Encodings as (what all characters are, alphabet in order); the first that fits is inferred.
 DIGITS = "0123456789"
@@ -74,17 +73,6 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(F.translate(text, MARK, STAND_IN), pattern, f"{MARK}$0{MARK}"), MARK)
 
 
-def sums_before(lengths: Column) -> Column:
-    """For each element the sum of those before it; two levels keep the work near linear."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-
-    def inside(block: Column, before: Column) -> Column:
-        return F.aggregate(block, F.struct(before.alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
-
-    return let(blocks, lambda bs: let(F.transform(bs, total), lambda ts: F.flatten(F.transform(bs, lambda b, k: inside(b, total(F.slice(ts, 1, k)))))))
-
-
 def spans(text: Column, pattern: str, passes) -> Column:
     """array<struct<start, end, match>> of the matches that pass."""
 
