@@ -127,7 +127,7 @@ def component_rows(texts):
     return Counter((i, len(s), None if i is None else find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("limits", [{}, {"CELL_NODES": 4, "PIVOTS": 3}, {"CELL_NODES": 9, "WHOLE_REGION": 5}, {"CELL_SHINGLES": 300, "BUCKETS": 1 << 18}])
+@pytest.mark.parametrize("limits", [{}, {"CELL_NODES": 6, "PIVOTS": 4, "WHOLE_REGION": 5}, {"CELL_SHINGLES": 900}])
 def test_jaccard_join(spark, documents, odd_rows, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(jaccard, name, value)
