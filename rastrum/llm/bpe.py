@@ -30,6 +30,7 @@ import gc
 import hashlib
 import json
 import os
+import pickle
 import re
 import sys
 import unicodedata
@@ -355,17 +356,28 @@ class Encoder:
         return "".join([b[0] for b in both])[:-1], "".join([b[1] for b in both])[:-1]
 
 
-_compiled: dict[str, Encoder] = {}
+_compiled: dict[str, bytes] = {}
+_loaded: dict[bytes, Encoder] = {}
 
 
 def share_tokenizer(spark: SparkSession, path: str):
-    """Broadcasts the compiled encoder: some MB, whatever the input's size."""
+    """Broadcasts the compiled encoder, pickled: some MB, whatever the input's size."""
     if path not in _compiled:
         with open(path, encoding="utf-8") as f:
-            _compiled[path] = Encoder(f.read())
+            _compiled[path] = pickle.dumps(Encoder(f.read()))
+        gc.collect()
     return spark.sparkContext.broadcast(_compiled[path])
 
 
+def encoder_of(shared) -> Encoder:
+    """The encoder of a broadcast, loaded once in a worker, with what it remembers."""
+    digest = hashlib.sha256(shared.value).digest()
+    if digest not in _loaded:
+        _loaded.clear()
+        _loaded[digest] = pickle.loads(shared.value)
+    return _loaded[digest]
+
+
 @contextmanager
 def uncollected():
     """No search for cycles meanwhile: encoding makes none, and what is remembered is large."""
@@ -401,7 +413,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        enc = shared.value
+        enc = encoder_of(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -423,7 +435,7 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        enc = shared.value
+        enc = encoder_of(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -445,7 +457,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        enc = shared.value
+        enc = encoder_of(shared)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             with uncollected():

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.llm.bpe import each_text, share_tokenizer, uncollected
+from rastrum.llm.bpe import each_text, encoder_of, share_tokenizer, uncollected
 from rastrum.llm.common import cut
 
 GROUP = 20_000
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
     end, step = separator.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
-        enc = shared.value
+        enc = encoder_of(shared)
         for batch in batches:
             taken, piece, start, length, crc = [], [], [], [], []
             with uncollected():
