@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from rastrum.llm.common import cut
 
 #: Levels that a dimension's values are quantised to, about.
-LEVELS = 64
+LEVELS = 32
 #: Vectors and queries of a tile at most.
 BLOCK, QUERIES = 8192, 4096
 #: Segments between two attempts at a proof.
-ROUND = 32
+ROUND = 64
 #: Whole numbers up to here are exact in floating point, and so are their sums.
 EXACT = 1 << 53
 
