@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from rastrum.llm import bpe, jaccard, lines, packing, quality, secrets, spans
+from rastrum.llm import bpe, components, jaccard, lines, packing, quality, secrets, spans
 from rastrum.llm.queries import TOKENIZER
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,6 +150,26 @@ def test_jaccard_join(spark, documents, odd_rows, monkeypatch, limits):
     assert jaccard.near_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_components_of_long_paths(spark, monkeypatch):
+    """A path whose least node is at the wrong end, a random graph, and few rounds for both."""
+    rounds = []
+    for name in {"cut", "written"} & set(vars(components)):
+        monkeypatch.setattr(components, name, lambda df, f=getattr(components, name): rounds.append(1) or f(df))
+    random.seed(3)
+    path = [0, *range(18, 0, -1)]
+    links = [*zip(path, path[1:]), *((random.randrange(100, 160), random.randrange(100, 160)) for _ in range(45)), (7, 7)]
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for x, y in links:
+        parent[max(find(x), find(y))] = min(find(x), find(y))
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {(r.node, r.comp) for r in found.collect()} == {(x, find(x)) for x, y in {*links, *(k[::-1] for k in links)} if x != y}
+    assert len(rounds) <= 10
+
+
 def base_spans(t):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
