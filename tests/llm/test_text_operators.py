@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from rastrum.llm import bpe, components, jaccard, lines, packing, quality, secrets, spans
+from rastrum.llm import bpe, common, components, jaccard, lines, packing, quality, secrets, spans
 from rastrum.llm.queries import TOKENIZER
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,6 +106,18 @@ def test_suffix_automaton_counts():
                 assert a.counts(r, n) == [want[tuple(r[k : k + n])] for k in range(len(r) - n + 1)]
 
 
+def test_join_with_few(spark, monkeypatch):
+    """A partner of rows that is too large to broadcast sends a bitmap, which loses none."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    rows = spark.range(5000).selectExpr("id", "'t' || id AS text")
+    right = spark.range(0, 9000, 7).selectExpr("id", "-id AS other").union(spark.sql("SELECT 14L, 1L"))
+    joined = common.few_join(rows, right, "id")
+    want = [(k, f"t{k}", -k) for k in range(0, 5000, 7)]
+    assert sorted(map(tuple, joined.collect())) == sorted([*want, (14, "t14", 1)])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_rs_map" in plan and "BROADCAST" in plan.upper()
+
+
 def component_rows(texts):
     sets, parent = [], {}
     for i, t in texts:
