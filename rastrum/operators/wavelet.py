@@ -97,10 +97,43 @@ def inverse_2d(df: DataFrame, levels: int = 1, key: str = "image_id") -> DataFra
     return now.select(key, "y", "x", "v")
 
 
+def _place(levels: int) -> tuple[Column, Column]:
+    """y and x of the coefficient at seq in scan order, from the picture's rows and cols; null beyond its end.
+
+    Up to level k there are as many coefficients as its low corner has cells, and from
+    there on come its three bands, each in raster order.
+    """
+    sized = lambda k: (_at_level("rows", k).cast("long"), _at_level("cols", k).cast("long"))
+    r, c = sized(levels)
+    bands = [(F.lit(0), r, c, F.lit(0), F.lit(0))]  # first seq, height, width, top, left
+    for k in range(levels, 0, -1):
+        (r, c), (whole_r, whole_c) = sized(k), sized(k - 1)
+        low, right, below = r * c, r * (whole_c - c), (whole_r - r) * c
+        bands += [(low, r, whole_c - c, F.lit(0), c), (low + right, whole_r - r, c, r, F.lit(0)), (low + right + below, whole_r - r, whole_c - c, r, c)]
+    y = x = F.lit(None)
+    for first, height, width, top, left in reversed(bands):
+        at, wide = F.col("seq").cast("long") - first, F.greatest(width, F.lit(1))
+        inside = at < height * width
+        y, x = F.when(inside, top + F.floor(at / wide)).otherwise(y), F.when(inside, left + at % wide).otherwise(x)
+    return y.cast("int"), x.cast("int")
+
+
+def placed(coded: DataFrame, sized: DataFrame, levels: int, key: str = "image_id") -> DataFrame:
+    """Adds y and x to coefficients in scan order (key, seq), from the pictures' sizes (key, rows, cols) alone.
+
+    The sizes are what is joined: a table of all places, made from them, would look as
+    small to Spark as they are, and be broadcast.  Neither side is, as what follows
+    needs each picture's coefficients together anyway.
+    """
+    y, x = _place(levels)
+    return coded.join(sized.select(key, "rows", "cols").hint("merge"), key).withColumns({"y": y, "x": x}).drop("rows", "cols")
+
+
 def places(sized: DataFrame, levels: int, key: str = "image_id") -> DataFrame:
     """key, seq, y, x: where each coefficient in scan order belongs, from the pictures' sizes (key, rows, cols) alone."""
-    cells = sized.select(key, "cols", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("y")).select(key, "y", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("x"))
-    return scan_order(cells, levels, key).select(key, "seq", "y", "x")
+    y, x = _place(levels)
+    cells = sized.select(key, "rows", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)).alias("seq"))
+    return cells.select(key, "seq", y.alias("y"), x.alias("x"))
 
 
 def subbands(df: DataFrame, levels: int, key: str = "image_id") -> DataFrame:

@@ -435,7 +435,7 @@ def wavelet_codec_roundtrip(spark, sf_dir):
     full = full_grid(spark, sf_dir)
     ordered = wavelet.scan_order(wavelet.forward_2d(full, LEVELS), LEVELS)
     blobs = kernels.coded_streams(ordered.select("image_id", "seq", S.zigzag("v").alias("sym")), ["image_id"])
-    back = kernels.decoded_streams(blobs, ["image_id"]).join(wavelet.places(wavelet.sizes(full), LEVELS), ["image_id", "seq"])
+    back = wavelet.placed(kernels.decoded_streams(blobs, ["image_id"]), wavelet.sizes(full), LEVELS)
     samples = wavelet.inverse_2d(back.select("image_id", "y", "x", S.unzigzag("sym").alias("v")), LEVELS)
     return kernels.mismatches(full, samples, ["image_id", "y", "x"], "v", "image_id")
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastrum.functions import scalars as S
-from rastrum.plans import engine
+from rastrum.plans import engine, raster_queries  # noqa: F401
+from rastrum.plans.catalog import QUERIES
 from rastrum.operators import codebook, kernels, partition, predict, runs, stats, wavelet
 
 
@@ -63,6 +64,31 @@ def test_many_levels_and_places(spark):
     assert sorted(map(tuple, wavelet.inverse_2d(placed, 5).collect())) == sorted(map(tuple, grid.collect()))
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (1, 7), (5, 1), (2, 3), (20, 33)])
+def test_places_follow_from_sizes(spark, shape):
+    """Two pictures at a time, and a coefficient beyond the end, which has no place."""
+    grid = grid_of(spark, [[[0] * shape[1] for _ in range(shape[0])], [[0] * 3 for _ in range(4)]])
+    coded = wavelet.scan_order(grid, 3).select("image_id", "seq", "y", "x")
+    more = coded.select("image_id", "seq").union(spark.sql("SELECT 1, 12"))
+    found = wavelet.placed(more, wavelet.sizes(grid), 3)
+    assert sorted(map(tuple, found.where("x IS NOT NULL").collect())) == sorted(map(tuple, coded.collect()))
+    assert [tuple(r) for r in found.where("x IS NULL OR y IS NULL").collect()] == [(1, 12, None, None)]
+
+
+@pytest.mark.parametrize("name", ["wavelet_codec_roundtrip"])
+def test_no_cells_are_broadcast(spark, name):
+    """What explode makes looks as small to Spark as what it is made from; it must not be sent whole."""
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    sent, deep = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-|*"))
+        deep = None if deep is not None and at <= deep else deep
+        sent += [line] if deep is not None else []
+        deep = at if "BroadcastExchange" in line else deep
+    assert not [line for line in sent if "Generate" in line or "Window" in line]
+
+
 def test_coefficient_words_come_back(spark):
     values = [0, 1, -1, 32767, -32767, 32768, -32768, 70000, -(1 << 31), (1 << 31) - 1, 5]
     words = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "image_id int, at int, v int").select("image_id", "at", F.posexplode(S.coefficient_words("v")).alias("part", "sym"))
