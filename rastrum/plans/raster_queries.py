@@ -448,7 +448,7 @@ def wavelet_words_codec_roundtrip(spark, sf_dir):
     words = ordered.select("image_id", (3 * F.col("seq")).alias("at"), F.posexplode(S.coefficient_words("v")).alias("part", "sym"))
     blobs = kernels.coded_streams(words.select("image_id", (F.col("at") + F.col("part")).alias("seq"), "sym"), ["image_id"], "rans", runs_depth=16)
     back = kernels.coefficients(kernels.decoded_streams(blobs, ["image_id"], runs_depth=16), ["image_id"])
-    placed = back.join(wavelet.places(wavelet.sizes(full), LEVELS), ["image_id", "seq"]).select("image_id", "y", "x", "v")
+    placed = wavelet.placed(back, wavelet.sizes(full), LEVELS).select("image_id", "y", "x", "v")
     return kernels.mismatches(full, wavelet.inverse_2d(placed, LEVELS), ["image_id", "y", "x"], "v", "image_id")
 
 

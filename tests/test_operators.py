@@ -75,7 +75,7 @@ def test_places_follow_from_sizes(spark, shape):
     assert [tuple(r) for r in found.where("x IS NULL OR y IS NULL").collect()] == [(1, 12, None, None)]
 
 
-@pytest.mark.parametrize("name", ["wavelet_codec_roundtrip"])
+@pytest.mark.parametrize("name", ["wavelet_codec_roundtrip", "wavelet_words_codec_roundtrip"])
 def test_no_cells_are_broadcast(spark, name):
     """What explode makes looks as small to Spark as what it is made from; it must not be sent whole."""
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
