@@ -16,7 +16,8 @@ continues a path of the first from where it begins.  So the last token at a plac
 depends on the second automaton's state and on the first one's states at the places
 that its tokens may begin at.  Both make one state of a deterministic automaton
 over symbols, and its transitions are a table by state and symbol, filled as they
-meet and begun anew when it is full.  Decoding emits the labels of the arcs.
+meet and begun anew when it is full.  Words new to a worker go through it side by
+side, a symbol of each at a time.  Decoding emits the labels of the arcs.
 
 The automaton is compiled once, on the driver, and broadcast: some MB, whatever the
 input's size.  No token crosses white space, so texts are cut there as bytes, and
@@ -39,6 +40,7 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,10 @@ NEVER = 1 << 60
 NO_EVENT: tuple[list[int], list[int], list[int]] = ([], [], [])
 #: The symbol of a word's end; others are bytes.
 END = 256
+#: For the table of transitions: an odd factor whose products' upper bits are the place to look at first.
+HASH, ALL64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: What stands between the ids of one piece and the next while many are looked up at once; no id has its bits.
+PART = b"\xff\xff\xff\xff"
 
 
 def byte_symbols() -> dict[int, str]:
@@ -134,6 +140,8 @@ class MergeAutomaton:
         self.ends: list[tuple] = [()] * len(own)  # (token, length), the longest first
         self.depth = depth
         self.lengths = {t: len(x) for t, x in spelt.items()}
+        self.spans = np.zeros(max(spelt, default=-1) + 1, np.int64)  # the lengths again, by token
+        self.spans[list(spelt)] = [len(x) for x in spelt.values()]
         for node, before, x in sorted(order[1:], key=lambda o: depth[o[0]]):
             if before:
                 self.fail[node] = self._step(self.fail[before], x)
@@ -200,21 +208,66 @@ class MergeAutomaton:
     STATES = 1 << 18
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("table", "last", "known", "context")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("keys", "values", "last", "known", "context")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
         self._begin()
 
     def _begin(self) -> None:
-        self.table: dict[int, int] = {}
-        self.context = [(0, (0,))]  # per state the matched node, and the merge automaton's states at its places
-        self.known = {(0, (0,), -1): 0}
-        self.last = [-1]  # per state the token that ends here
+        self.filled, self.bits = 0, 16
+        self._open()
+        self.context = [(0, (0,), -1)]  # per state the matched node, the merge automaton's states at its places and the token that ends here
+        self.known = {self.context[0]: 0}
+        self.last = array("i", [-1])  # the tokens again
+
+    def _open(self) -> None:
+        """An empty table of transitions: keys, -1 where there is none, and the states they lead to, by hash and then the next free place."""
+        self.keys, self.values = array("q", [-1]) * (1 << self.bits), array("i", [0]) * (1 << self.bits)
+
+    def _next(self, at: int, x: int) -> int:
+        """The state that a symbol leads to."""
+        key, keys, mask = at << self.shift | x, self.keys, (1 << self.bits) - 1
+        h = (key * HASH & ALL64) >> 64 - self.bits
+        while (k := keys[h]) != key:
+            if k < 0:
+                keys[h], self.values[h] = key, (to := self._transition(at, x))
+                self.filled += 1
+                if 2 * self.filled > len(keys):
+                    self._widen()
+                return to
+            h = h + 1 & mask
+        return self.values[h]
+
+    def _widen(self) -> None:
+        old, self.bits = [(k, v) for k, v in zip(self.keys, self.values) if k >= 0], self.bits + 1
+        self._open()
+        keys, values, mask = self.keys, self.values, (1 << self.bits) - 1
+        for k, v in old:
+            h = (k * HASH & ALL64) >> 64 - self.bits
+            while keys[h] >= 0:
+                h = h + 1 & mask
+            keys[h], values[h] = k, v
+
+    def _nexts(self, wanted: np.ndarray) -> np.ndarray:
+        """As _next for many keys, -1 where the table has none."""
+        keys, values = np.frombuffer(self.keys, np.int64), np.frombuffer(self.values, np.int32)
+        h = ((wanted.astype(np.uint64) * np.uint64(HASH)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = keys[h]
+        to = np.where(found == wanted, values[h], -1)
+        open_ = np.flatnonzero((found != wanted) & (found >= 0))
+        while len(open_):
+            h[open_] = h[open_] + 1 & len(keys) - 1
+            at, want = h[open_], wanted[open_]
+            found = keys[at]
+            same = found == want
+            to[open_[same]] = values[at[same]]
+            open_ = open_[~same & (found >= 0)]
+        return to
 
     def _transition(self, at: int, x: int) -> int:
-        """Fills the place of a state and a symbol."""
-        node, places = self.context[at]
+        """The state that a symbol leads to, found from both automata."""
+        node, places, _ = self.context[at]
         node = self._step(node, x)
         for token, length in self.ends[node]:
             if self.permits(places[-length], token):
@@ -222,21 +275,21 @@ class MergeAutomaton:
         else:
             raise ValueError("a word has no path in the automaton")
         places = (*places, self.leads[token])[-self.depth[node] - 1 :]
-        to = self.known.get((node, places, token))
+        state = node, places, token
+        to = self.known.get(state)
         if to is None:
-            to = self.known[node, places, token] = len(self.last)
+            to = self.known[state] = len(self.last)
             self.last.append(token)
-            self.context.append((node, places))
-        self.table[at << self.shift | x] = to
+            self.context.append(state)
         return to
 
     def path(self, symbols: Iterable[int]) -> list[int]:
         """Token ids of one word, given as symbols of the tokens' spellings."""
         if len(self.last) >= self.STATES:
             self._begin()
-        get, shift, at, passed = self.table.get, self.shift, 0, []
+        step, at, passed = self._next, 0, []
         for x in symbols:
-            at = get(at << shift | x) or self._transition(at, x)
+            at = step(at, x)
             passed.append(at)
         ids, end, last, lengths = [], len(passed), self.last, self.lengths
         while end:
@@ -245,32 +298,68 @@ class MergeAutomaton:
             end -= lengths[token]
         return ids[::-1]
 
+    def paths(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of some words, one after the other, and how many there are of each; `ends` are the places after each word's symbols."""
+        if len(self.last) >= self.STATES:
+            self._begin()
+        begins = np.concatenate([[0], ends[:-1]])
+        sizes = ends - begins
+        order = np.argsort(-sizes, kind="stable")
+        starts, reached = begins[order], np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")
+        at, passed = np.zeros(len(ends), np.int64), np.empty(len(symbols), np.int64)
+        for k, n in enumerate(reached.tolist()):  # the n longest have a symbol at place k
+            where = starts[:n] + k
+            keys = at[:n] << self.shift | symbols[where]
+            to = self._nexts(keys)
+            if len(missing := np.flatnonzero(to < 0)):
+                new, which = np.unique(keys[missing], return_inverse=True)
+                to[missing] = np.array([self._next(x >> self.shift, x & (1 << self.shift) - 1) for x in new.tolist()])[which]
+            at[:n] = passed[where] = to
+        last = np.array(self.last, np.int32)[passed]
+        ids, before, left = np.full(len(symbols), -1, np.int32), ends.copy(), begins
+        counts = np.zeros(len(ends), np.int64)
+        words = np.arange(len(ends))
+        while len(words):
+            token = last[before - 1]
+            ids[before - 1] = token
+            counts[words] += 1
+            before = before - self.spans[token]
+            more = before > left
+            words, before, left = words[more], before[more], left[more]
+        return ids[ids >= 0], counts
+
 
 class Memory(dict):
     """What was found of late: when `most` are held, those before them go, and what is asked for again comes back."""
 
-    def __init__(self, most: int):
-        self.most, self.before = most, {}
+    def __init__(self, most: int, longest: int):
+        self.most, self.longest, self.before, self.passing = most, longest, {}, []
 
-    def keep(self, key, value) -> None:
+    def hold(self, keys: Iterable, make) -> None:
+        """Holds these keys until it is called again; make(list of keys) gives the values of those not remembered.  Keys over `longest` are then forgotten."""
+        for key in self.passing:
+            del self[key]
+        self.passing = []
         if len(self) >= self.most:
             self.before = dict(self)
             self.clear()
-        self[key] = value
-
-    def older(self, key):
-        """What is not held any more but was before, or None."""
-        found = self.before.get(key)
-        if found is not None:
-            self.keep(key, found)
-        return found
+        new = [key for key in keys if key not in self]
+        if self.before and new:
+            get = self.before.get
+            self.update((key, value) for key, value in zip(new, map(get, new)) if value is not None)
+            new = [key for key in new if key not in self]
+        if new:
+            self.update(zip(new, make(new)))
+            self.passing = [key for key in new if len(key) > self.longest]
 
 
 class Encoder:
     """Whole texts to ids and back, for tokenizer files with word ends and byte symbols."""
 
     #: What a worker remembers of words, and of pieces between white space, of at most LONGEST bytes: twice as many at most.
-    WORDS, PIECES, LONGEST = 300_000, 400_000, 48
+    WORDS, PIECES, SPELT, LONGEST = 300_000, 400_000, 200_000, 48
+    #: Words that go through the automaton side by side, and texts, and about so many bytes of them, whose pieces are looked up together.
+    ABREAST, TEXTS, BYTES = 8192, 256, 1 << 20
 
     def __init__(self, spec: str):
         spec = json.loads(spec)
@@ -285,8 +374,10 @@ class Encoder:
             raise ValueError("added tokens must be taken as they stand and hold no white space")
         self.special = {t["content"]: t["id"] for t in added}
         self.automaton.label |= {i: s for s, i in self.special.items()}
+        if max(self.automaton.label) >= 1 << 24:
+            raise ValueError("ids must have 24 bits at most, as bulks are parted by a number of 32 set bits")
         letter, number = category_class("L"), category_class("N")
-        self.pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{UNICODE_SPACE}{letter}{number}]+"
+        self.pattern = f"[{letter}]+|\n|'s|'t|'re|'ve|'m|'ll|'d|[{number}]|[^{UNICODE_SPACE}{letter}{number}]+"
         self.__setstate__(self.__dict__)
 
     def __getstate__(self) -> dict:
@@ -295,65 +386,88 @@ class Encoder:
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
         self.word = re.compile(self.pattern)
-        self.ascii_word = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \\t-\\ra-z0-9]+")
+        self.ascii_word = re.compile("[a-z]+|\n|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \t-\ra-z0-9]+")
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.begin = os.path.commonprefix(list(self.special))
-        self.words, self.pieces, self.spelt = Memory(self.WORDS), Memory(self.PIECES), Memory(self.PIECES // 2)
-
-    def of_word(self, word: str) -> bytes:
-        found = self.words.older(word)
-        if found is None:
-            found = array("I", self.automaton.path((*word.encode(), END))).tobytes()
-            if len(word) <= self.LONGEST:
-                self.words.keep(word, found)
-        return found
-
-    def of_plain(self, text: str) -> bytes:
-        get, make = self.words.get, self.of_word
-        if text.isascii():
-            return b"".join([get(w) or make(w) for w in self.ascii_word.findall(text.lower())])
-        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-        return b"".join([get(w) or make(w) for w in self.word.findall(text)])
-
-    def of_piece(self, piece: bytes) -> bytes:
+        self.begin = os.path.commonprefix(list(self.special)).encode()
+        self.words, self.pieces, self.spelt = (Memory(n, self.LONGEST) for n in (self.WORDS, self.PIECES, self.SPELT))
+
+    def of_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words without white space, as packed numbers; PART for the line feeds among them."""
+        for at in range(0, len(words), self.ABREAST):
+            part = words[at : at + self.ABREAST]
+            short = [w for w in part if w != "\n" and len(w) <= self.LONGEST]
+            found = {"\n": PART}
+            if short:
+                symbols = np.frombuffer("\n".join([*short, ""]).encode(), np.uint8).astype(np.int64)
+                ends = np.flatnonzero(symbols == 10) + 1
+                symbols[ends - 1] = END
+                ids, counts = self.automaton.paths(symbols, ends)
+                packed, stops = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+                found.update((w, packed[lo:hi]) for w, lo, hi in zip(short, [0, *stops], stops))
+            for w in part:
+                yield found[w] if w in found else array("I", self.automaton.path((*w.encode(), END))).tobytes()
+
+    def of_lines(self, text: str, word: re.Pattern) -> list[bytes]:
+        """Ids of each line of a normalised text without other ASCII white space."""
+        found = word.findall(text)
+        self.words.hold(set(found), self.of_words)
+        return b"".join(map(self.words.__getitem__, found)).split(PART)
+
+    def of_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of what stands between ASCII white space."""
-        found = self.pieces.older(piece)
-        if found is not None:
-            return found
-        text = piece.decode()
-        if self.split and self.begin in text and len(parts := self.split.split(text)) > 1:
-            found = b"".join(array("I", [self.special[p]]).tobytes() if k % 2 else self.of_plain(p) for k, p in enumerate(parts))
-        else:
-            found = self.of_plain(text)
-        if len(piece) <= self.LONGEST:
-            self.pieces.keep(piece, found)
-        return found
-
-    def packed(self, text: bytes | None) -> bytes:
-        """The ids of a text in UTF-8 as unsigned 32-bit numbers of the machine's byte order."""
-        get, make = self.pieces.get, self.of_piece
-        return b"".join([get(p) or make(p) for p in text.split()]) if text else b""
+        out: list[bytes] = [b""] * len(pieces)
+        plain, other = [], []
+        for k, p in enumerate(pieces):
+            if self.split and self.begin in p and len(parts := self.split.split(p.decode())) > 1:
+                between = iter(self.of_pieces([x.encode() for x in parts[::2]]))
+                out[k] = b"".join(array("I", [self.special[x]]).tobytes() if j % 2 else next(between) for j, x in enumerate(parts))
+            else:
+                (plain if p.isascii() else other).append(k)
+        for chosen, word in (plain, self.ascii_word), (other, self.word):
+            if chosen:
+                text = b"\n".join([pieces[k] for k in chosen]).decode()
+                text = text.lower() if word is self.ascii_word else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+                for k, ids in zip(chosen, self.of_lines(text, word)):
+                    out[k] = ids
+        return out
+
+    def grouped(self, texts: Iterable[bytes | None]) -> Iterator[list[list[bytes]]]:
+        """The texts' pieces, some texts at a time."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text.split() if text else [])
+            size += len(text or b"")
+            if len(group) >= self.TEXTS or size >= self.BYTES:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+    def packed(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text in UTF-8 as unsigned 32-bit numbers of the machine's byte order."""
+        for group in self.grouped(texts):
+            self.pieces.hold(set().union(*group), self.of_pieces)
+            for pieces in group:
+                yield b"".join(map(self.pieces.__getitem__, pieces))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs, joined by one space as the tokenizer has no decoder."""
         return " ".join(map(self.automaton.label.__getitem__, ids))
 
-    def of_spelt(self, piece: bytes) -> tuple[str, str]:
-        found = self.spelt.older(piece)
-        if found is not None:
-            return found
-        ids = memoryview(self.pieces.get(piece) or self.of_piece(piece)).cast("I").tolist()
+    def of_spelt(self, pieces: list[bytes]) -> Iterator[tuple[str, str]]:
         label = self.automaton.label
-        found = "".join([f"{i} " for i in ids]), "".join([label[i] + " " for i in ids])
-        if len(piece) <= self.LONGEST:
-            self.spelt.keep(piece, found)
-        return found
+        self.pieces.hold(pieces, self.of_pieces)
+        for piece in pieces:
+            ids = memoryview(self.pieces[piece]).cast("I").tolist()
+            yield "".join([f"{i} " for i in ids]), "".join([label[i] + " " for i in ids])
 
-    def spelled(self, text: bytes | None) -> tuple[str, str]:
-        """The ids in decimal and the decoded text, both joined by one space."""
-        get, make = self.spelt.get, self.of_spelt
-        both = [get(p) or make(p) for p in text.split()] if text else []
-        return "".join([b[0] for b in both])[:-1], "".join([b[1] for b in both])[:-1]
+    def spelled(self, texts: Iterable[bytes | None]) -> Iterator[tuple[str, str]]:
+        """The ids of each text in decimal and the decoded text, both joined by one space."""
+        for group in self.grouped(texts):
+            self.spelt.hold(set().union(*group), self.of_spelt)
+            for pieces in group:
+                both = list(map(self.spelt.__getitem__, pieces))
+                yield "".join([b[0] for b in both])[:-1], "".join([b[1] for b in both])[:-1]
 
 
 _compiled: dict[str, bytes] = {}
@@ -411,14 +525,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         enc = encoder_of(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 with uncollected():
-                    packed = [enc.packed(t) for t in each_text(part.column(1))]
+                    packed = list(enc.packed(each_text(part.column(1))))
                 offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype="int32")
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="int32")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
@@ -461,8 +573,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             with uncollected():
-                for text in each_text(batch.column(1)):
-                    ids, decoded = enc.spelled(text)
+                for ids, decoded in enc.spelled(each_text(batch.column(1))):
                     n.append(ids.count(" ") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())

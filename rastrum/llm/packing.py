@@ -42,8 +42,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
         for batch in batches:
             taken, piece, start, length, crc = [], [], [], [], []
             with uncollected():
-                for k, text in enumerate(each_text(batch.column(1))):
-                    packed = memoryview(enc.packed(text) + end)
+                for k, ids in enumerate(enc.packed(each_text(batch.column(1)))):
+                    packed = memoryview(ids + end)
                     for p, lo in enumerate(range(0, len(packed), step)):
                         part = packed[lo : lo + step]
                         taken.append(k)

@@ -48,6 +48,35 @@ def test_automaton_by_hand():
     assert label("abc") == ["abc"] and label("ab") == ["ab"] and label("aaa") == ["aa", "a"] and label("abcb") == ["abc", "b"] and label("aab") == ["a", "ab"]
 
 
+def test_new_words_go_through_the_automaton_side_by_side(tokenizer, monkeypatch):
+    random.seed(8)
+    texts = ["".join(random.choice("abcdethinger  ThE'sÉßΣσς½²漢\u0301\u0085\n!?<|>") for _ in range(300)) + " <|endoftext|>x<|startoftext|> " + "y" * 60 for _ in range(60)]
+    for name, value in {"WORDS": 40, "PIECES": 30, "ABREAST": 7, "TEXTS": 4}.items():
+        monkeypatch.setattr(bpe.Encoder, name, value, raising=False)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        enc = bpe.Encoder(f.read())
+    alone, calls = enc.automaton.path, []
+    monkeypatch.setattr(enc.automaton, "path", lambda symbols: calls.append(symbols) or alone(symbols))
+    monkeypatch.setattr(bpe.MergeAutomaton, "STATES", 500)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    found = list(enc.packed(t.encode() for t in [*texts, "", *texts]))
+    assert [memoryview(x).cast("I").tolist() for x in found] == [*want, [], *want]
+    assert [x for x, _ in enc.spelled(t.encode() for t in texts)] == [" ".join(map(str, w)) for w in want]
+    assert all(len(x) > enc.LONGEST for x in calls) and enc.automaton.bits == 16
+    assert all(len(x) <= enc.LONGEST for m in (enc.pieces, enc.words) for x in m if x not in m.passing)
+
+
+def test_table_of_transitions_widens():
+    found = bpe.MergeAutomaton({s: i for i, s in enumerate(["a", "b", "c", "ab", "bc", "abc", "aa"])}, [("b", "c"), ("a", "bc"), ("a", "b"), ("a", "a")])
+    words = ["".join(random.Random(k).choices("abc", k=9)) for k in range(50)]
+    want = [found.path(map(ord, w)) for w in words]
+    found.bits = 1
+    found._open()
+    found.filled = 0
+    assert [found.path(map(ord, w)) for w in words] == want and found.bits > 4
+    assert 2 * found.filled <= len(found.keys) == len(found.values) == 1 << found.bits
+
+
 def test_line_dedup(spark, documents, odd_rows):
     docs = documents(odd_rows)
     split = [(i, (t or "").split("\n")) for i, t in odd_rows]
