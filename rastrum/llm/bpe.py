@@ -357,7 +357,7 @@ class Encoder:
     """Whole texts to ids and back, for tokenizer files with word ends and byte symbols."""
 
     #: What a worker remembers of words, and of pieces between white space, of at most LONGEST bytes: twice as many at most.
-    WORDS, PIECES, SPELT, LONGEST = 300_000, 400_000, 200_000, 48
+    WORDS, PIECES, SPELT, LONGEST = 30_000, 120_000, 120_000, 48
     #: Words that go through the automaton side by side, and texts, and about so many bytes of them, whose pieces are looked up together.
     ABREAST, TEXTS, BYTES = 8192, 256, 1 << 20
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -66,6 +67,18 @@ def test_new_words_go_through_the_automaton_side_by_side(tokenizer, monkeypatch)
     assert all(len(x) <= enc.LONGEST for m in (enc.pieces, enc.words) for x in m if x not in m.passing)
 
 
+def test_what_a_worker_remembers_is_small():
+    with open(TOKENIZER, encoding="utf-8") as f:
+        enc = bpe.Encoder(f.read())
+    tracemalloc.start()
+    try:
+        for _ in enc.packed(" ".join(map(str, range(k, k + 500))).encode() for k in range(0, 900_000, 500)):
+            pass
+        assert tracemalloc.get_traced_memory()[0] < 40e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_table_of_transitions_widens():
     found = bpe.MergeAutomaton({s: i for i, s in enumerate(["a", "b", "c", "ab", "bc", "abc", "aa"])}, [("b", "c"), ("a", "bc"), ("a", "b"), ("a", "a")])
     words = ["".join(random.Random(k).choices("abc", k=9)) for k in range(50)]
